@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from reportloom.llm import token_counts
+from reportloom.llm import best_fit_packing, chat_format, token_counts
 
 QUERIES = {
+    "op1_chat_format": chat_format.query,
+    "op7_best_fit_packing": best_fit_packing.query,
     "op10_token_counts": token_counts.query,
 }
 
