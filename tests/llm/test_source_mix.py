@@ -1,0 +1,86 @@
+import itertools
+import random
+
+import duckdb
+import pytest
+
+from reportloom.llm import source_mix as sm
+
+
+def plain_targets(sizes, weights, share, cap):
+    """Reshares step by step, as the contract tells it."""
+    out, rest, total = {}, set(sizes), share * sum(sizes.values())
+    while rest:
+        weight = sum(weights[s] for s in rest)
+        over = {s for s in rest if total * weights[s] / weight > cap * sizes[s] + 1e-9}
+        if not over:
+            return out | {s: total * weights[s] / weight for s in rest}
+        for s in over:
+            out[s] = cap * sizes[s]
+        total -= sum(out[s] for s in over)
+        rest -= over
+    return out
+
+
+def test_targets_match_step_by_step_resharing():
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes = {f"s{k}": rng.choice([0, 1, 10, 500, rng.randrange(10_000)]) for k in range(rng.randrange(1, 9))}
+        weights = sm.cycled_weights(list(sizes))
+        want, got = plain_targets(sizes, weights, 1.5, 2), sm.targets(sizes, weights, 1.5, 2)
+        assert got == pytest.approx(want)
+
+
+def test_null_source_weighs_last():
+    assert sm.cycled_weights([None, "b", "a", "c"]) == {"a": 5, "b": 2, "c": 1, None: 5}
+
+
+def test_route_is_a_cheapest_maximum_flow():
+    rng = random.Random(2)
+    for _ in range(60):
+        sources = ["a", "b", "c"]
+        pats = {p: rng.randrange(1, 4) for r in (1, 2) for p in itertools.combinations(sources, r) if rng.random() < 0.7}
+        quotas = {s: rng.randrange(0, 6) for s in sources}
+        got = sm.route(pats, quotas, 2)
+        best = None
+        for take in itertools.product(*(range(2 * n + 1) for n in pats.values())):
+            # Hall's condition: any set of patterns must fit the quotas they can reach.
+            ok = all(
+                sum(t for t, u in zip(take, use, strict=True) if u)
+                <= sum(quotas[s] for s in {s for p, u in zip(pats, use, strict=True) if u for s in p})
+                for use in itertools.product([0, 1], repeat=len(pats))
+            )
+            if ok:
+                cost = sum(max(0, t - n) for t, n in zip(take, pats.values(), strict=True))
+                best = max(best or (-1, 0), (sum(take), -cost))
+        assert (sum(got.values()), -sum(max(0, got[p] - n) for p, n in pats.items())) == best
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.choice([0, 1, 7, 30, rng.randrange(400)]), rng.choice(["a", "b", "b", "b", None, "é"]), 5) for k in range(300)]
+    rows += [(7, "w w", "a", 1)] * 2 + [(None, "x", "z", 1), (900, None, "q", 1)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, size int").write.parquet(path)
+    got = sorted(map(tuple, sm.query(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(db.sql(sm.SQL).fetchall(), key=str)
+    taken, target = {}, {}
+    source = {r[0]: r[2] for r in rows}
+    for doc, size, _, t, took in got:
+        assert took in (0, size, 2 * size)
+        taken[source[doc]] = taken.get(source[doc], 0) + took
+        target[source[doc]] = t
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 2 for s in "ab")
+
+
+def test_overlapping_sources_and_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "w " * 10, ["a"] if k % 3 else ["a", "b"]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, both array<string>")
+    got = sm.source_mix(docs, F.col("both"), share=1.0).collect()
+    assert len(got) == 60 and max(r.copies for r in got) <= 2
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert sm.source_mix(empty).count() == 0
