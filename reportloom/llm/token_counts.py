@@ -30,7 +30,7 @@ from reportloom.llm.common import ship
 
 MARK = "▁"
 #: Entries of a worker's chunk and pair memos; a full memo is emptied and refilled.
-MEMO = 1_000_000
+MEMO = 300_000
 UNKNOWN = None
 
 
