@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, source_mix, token_counts
+from reportloom.llm import best_fit_packing, chat_format, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op4_source_mix": source_mix.query,
+    "op6_toxicity": toxicity.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op10_token_counts": token_counts.query,
 }
