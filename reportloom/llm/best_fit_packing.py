@@ -47,26 +47,39 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Bytes of text behind each id: a byte-level piece writes each byte as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for piece, i in vocabulary.items():
+            self.width[i] = len(piece)
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids.
+
+        The chunks that the memo lacks are encoded as one text behind the first
+        chunk and told apart by their widths in bytes.
+        """
         if not text:
             return b""
         if _UNEVEN.search(text) or any(s in text for s in self.special):
-            return self._ids([text])[0]
+            return self._ids(text).tobytes()
         first, *rest = text.split(" ")
-        missing = list({*rest}.difference(self.memo))
-        if missing:
-            if len(self.memo) + len(missing) > MEMO:
-                self.memo.clear()
-                missing = list({*rest})
-            self.memo.update(zip(missing, self._ids([" " + c for c in missing]), strict=True))
-        return self._ids([first])[0] + b"".join(map(self.memo.__getitem__, rest))
+        found = list(map(self.memo.get, rest))
+        missing = list({c for c, f in zip(rest, found, strict=True) if f is None}) if None in found else []
+        if len(self.memo) + len(missing) > MEMO:
+            self.memo.clear()
+            missing = list({*rest})
+        fresh = [first, *(" " + c for c in missing)]
+        ids = self._ids("".join(fresh))
+        ends = np.cumsum([len(c.encode()) for c in fresh])
+        cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.memo.update((c, raw[a:b]) for c, a, b in zip(missing, cuts, cuts[1:], strict=False))
+        return raw[: cuts[0]] + b"".join(map(self.memo.__getitem__, rest) if missing else found)
 
 
 def encoder(path: str) -> Encoder:
