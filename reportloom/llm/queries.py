@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.query,
     "op6_toxicity": toxicity.query,
     "op7_best_fit_packing": best_fit_packing.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.SQL,
 }
