@@ -96,7 +96,7 @@ def quality_rules(
     least_words: int = 50,
     most_repeat_percent: int = 50,
     repeat_words: int = 10,
-    most_covered: float = 0.3,
+    most_covered: float = 0.45,
     longest_repeat: int = 200,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:

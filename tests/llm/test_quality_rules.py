@@ -42,7 +42,7 @@ def plain(text, least=10):
     longest = brute(words)
     cover = {i + k for i, m in enumerate(longest) if m >= least for k in range(m)}
     failed = len(words) < 50 or 100 * len(twice) > 50 * len(words)
-    kept = not failed and not (len(cover) > 0.3 * len(words) or max(longest, default=0) > 200)
+    kept = not failed and not (len(cover) > 0.45 * len(words) or max(longest, default=0) > 200)
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(twice), len(cover), max(longest, default=0), failed, kept)
 
 
