@@ -57,22 +57,45 @@ class Rendered:
     rewrites_at: int
 
 
-def render(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered:
-    """Renders and locates; spans from the first rewriting turn on are empty at the end."""
+def render(turns: list[Turn], template: Callable[[list[Turn]], str], context: int = 2, exact: int = 16) -> Rendered:
+    """Renders and locates; spans from the first rewriting turn on are empty at the end.
+
+    The first ``exact`` prefixes are rendered whole. Later turns are rendered
+    behind their last ``context`` turns only, and the text that this predicts is
+    held against the whole prefix whenever the number of turns has doubled and at
+    the end, so a conversation costs a multiple of its length, not its square.
+    Where a prediction fails, or a turn does not extend its context, the turns
+    since the last comparison are done again with whole prefixes.
+    """
     text, spans, rewrites_at = template([]), [], -1
-    for k, (role, _) in enumerate(turns):
-        before, text = text, template(turns[: k + 1])
-        if not text.startswith(before):
-            rewrites_at = k
-            break
-        one, two = (template([*turns[:k], (role, probe)]) for probe in "ab")
-        head = len(os.path.commonprefix([one, two]))
-        tail = len(os.path.commonprefix([one[::-1], two[::-1]]))
-        spans.append((len(before), head, max(head, len(text) - tail), len(text)))
+    k, whole, checked = 0, False, (0, text)
+    while k < len(turns):
+        start = 0 if whole or k < exact else k - context
+        before = template(turns[start:k]) if start else text
+        after = template(turns[start : k + 1])
+        fits = after.startswith(before)
+        if fits:
+            one, two = (template([*turns[start:k], (turns[k][0], probe)]) for probe in "ab")
+            head = len(os.path.commonprefix([one, two]))
+            tail = len(os.path.commonprefix([one[::-1], two[::-1]]))
+            shift = len(text) - len(before)
+            spans.append(tuple(shift + x for x in (len(before), head, max(head, len(after) - tail), len(after))))
+            text += after[len(before) :]
+            k += 1
+            if start and (k & (k - 1) == 0 or k == len(turns)):
+                fits = template(turns[:k]) == text
+            if fits and (not start or k & (k - 1) == 0):
+                checked = (k, text)
+        if not fits:
+            if not start:
+                rewrites_at = k
+                break
+            whole, (k, text) = True, checked
+            del spans[k:]
     if rewrites_at >= 0:
-        text = template(turns)
-        kept = os.path.commonprefix([text, before])
-        spans = [s if s[3] <= len(kept) else (len(text),) * 4 for s in spans]
+        before, text = text, template(turns)
+        kept = len(os.path.commonprefix([text, before]))
+        spans = [s if s[3] <= kept else (len(text),) * 4 for s in spans]
         spans += [(len(text),) * 4] * (len(turns) - len(spans))
     return Rendered(text, spans, rewrites_at)
 

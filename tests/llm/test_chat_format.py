@@ -36,6 +36,16 @@ def test_a_template_that_rewrites_history_is_detected():
     assert out.spans[0] == (0, 0, 1, 1) and out.spans[1] == out.spans[2] == (5, 5, 5, 5)
 
 
+def test_long_conversations_by_context_and_by_whole_prefixes():
+    turns = [("user" if k % 2 else "assistant", f"text {k}</s>") for k in range(200)]
+    plain, whole = cf.render(turns, cf.marked_turns), cf.render(turns, cf.marked_turns, exact=1000)
+    assert plain == whole and plain.rewrites_at == -1
+    numbered = lambda turns: "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
+    assert cf.render(turns, numbered) == cf.render(turns, numbered, exact=1000)
+    late = lambda turns: ("!" if len(turns) > 90 else "") + numbered(turns)
+    assert cf.render(turns, late).rewrites_at == 90
+
+
 def test_query_against_plain_digests(spark, tmp_path):
     rows = [
         (1, 1, "assistant", "yo</s>", 0), (1, 0, "user", None, 0), (1, 0, "user", None, 0), (1, 2, None, "", 0), (3, 0, "a%0A\n\\n<s>%", "t", 0),
