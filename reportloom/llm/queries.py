@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, quality_rules, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.query,
     "op6_toxicity": toxicity.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.SQL,
 }
