@@ -21,10 +21,16 @@ def library():
 
 def test_encoder_agrees_with_the_library(library):
     rng, encode = random.Random(3), Encoder(PATH)
+    quick = Encoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     parts = ["the", "a", "ing", " ", " ", "  ", "\n", " \n", "\t", "é", "日本", "😀", "<|endoftext|>", "'s", "12", "\x1c", "\x85", "\xa0", " ", "!", "."]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
-        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text)
+        assert np.frombuffer(quick(text), "<u4").tolist() == want, repr(text)
+    for code in range(0x250):  # every character of the quick path, inside and at the edges of words
+        text = f"{chr(code)}a{chr(code)}1 x{chr(code)}{chr(code)} 's{chr(code)}'ll{chr(code)} {chr(code)}z"
+        assert quick(text) == encode(text), code
 
 
 @settings(max_examples=200, deadline=None)
