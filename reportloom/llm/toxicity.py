@@ -88,15 +88,16 @@ class Model:
         hits = [(k, s) for k, s in enumerate(map(memo.__getitem__, words)) if s > 0]
         return maximal_segments(hits, self.cost), len(words)
 
-    def chance(self, score: float, n_words: int) -> float:
-        """How many segments of this score a clean text of that length is expected to hold."""
-        return self.scale * max(1, n_words) * math.exp(-self.decay * score)
+    def surprise(self, score: float, n_words: int) -> float:
+        """Minus the logarithm of how many such segments a clean text of that length is expected to hold."""
+        return self.decay * score - math.log(self.scale * max(1, n_words))
 
     def read(self, text: str) -> tuple[list[tuple[int, int, float, float]], float]:
-        """Significant segments with their chance numbers, and the evidence they sum to."""
+        """Significant segments with their surprise, and the evidence they sum to."""
         found, n = self.segments(text)
-        kept = [(a, b, s, e) for a, b, s in found if (e := self.chance(s, n)) <= self.significant]
-        return kept, sum(-math.log(e) for *_, e in kept)
+        least = -math.log(self.significant)
+        kept = [(a, b, s, e) for a, b, s in found if (e := self.surprise(s, n)) >= least]
+        return kept, sum(e for *_, e in kept)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
@@ -228,16 +229,13 @@ def fit(
 
     rows = known.mapInArrow(score, "is_toxic boolean, best double, words long, hits array<struct<s:double,n:long>>").collect()
     calibrate(model, [(r.is_toxic, r.best, r.words, {h.s: h.n for h in r.hits}) for r in rows])
-    evidence = []
-    for r in rows:
-        e = model.chance(r.best, r.words)
-        evidence.append(-math.log(e) if e <= model.significant else 0.0)
+    evidence = [e if (e := model.surprise(r.best, r.words)) >= -math.log(model.significant) else 0.0 for r in rows]
     model.intercept, model.slope = logistic(np.array(evidence), np.array([r.is_toxic for r in rows], dtype=float))
     return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score, n_words, passages (first_word, last_word, score, chance).
+    """One row per input row: id, score, n_words, passages (first_word, last_word, score, surprise).
 
     A null text counts as empty and gets the score of a text without findings.
     Words are counted from 0 between white space. Texts are read whole; repeated
@@ -246,7 +244,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    names = ("first_word", "last_word", "score", "chance")
+    names = ("first_word", "last_word", "score", "surprise")
     spans = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))))
 
     def run(batches):
@@ -261,7 +259,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 ["id", "score", "passages"],
             )
 
-    schema = f"id {kind}, score double, passages array<struct<first_word:long,last_word:long,score:double,chance:double>>"
+    schema = f"id {kind}, score double, passages array<struct<first_word:long,last_word:long,score:double,surprise:double>>"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
