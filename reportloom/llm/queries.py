@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, line_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op8_ngram_jaccard": ngram_jaccard.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
 }
 
