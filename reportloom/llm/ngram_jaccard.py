@@ -9,9 +9,9 @@ a pair whose head overlap cannot reach the threshold is dropped. What remains is
 verified on whole sets, again as partial overlaps per fragment that are summed.
 
 No group is expanded into all its pairs. Equal sets are one node. Each node is
-first verified against the best of the nodes that lead its fragments' shingles;
-only sets that share a head shingle and are still in different components after
-that are compared pair by pair.
+first verified against the best of the nodes that lead its shingles, then against
+its best lead in each other component; only sets that share a head shingle and
+are still in different components after that are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportloom.llm.common import components, durable, partitions, ship, table
@@ -99,6 +99,7 @@ def ngram_jaccard(
     percent: int = 75,
     fragments: int | None = None,
     splits: int = 4,
+    leads: int = 3,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -140,7 +141,7 @@ def ngram_jaccard(
 
         def counted():
             token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= 3
+            often = count >= 2
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "count"])
 
         for _, sets in _batches(batches, words):
@@ -156,7 +157,7 @@ def ngram_jaccard(
 
     often = (
         texts.mapInArrow(spread, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
-        .where("count >= 32").orderBy(F.desc("count"), "token").limit(WIDESPREAD)
+        .where("count >= 6").orderBy(F.desc("count"), "token").limit(WIDESPREAD)
     )
     last = np.sort(np.array([r.token for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))
 
@@ -183,7 +184,8 @@ def ngram_jaccard(
                 )
 
     def meet(batches):
-        """Shingles of a fragment that two or more sets hold, with the set that leads them."""
+        """What meets in a fragment: rows (token, node) of shingles that two or more sets
+        hold, and, with a count, pairs (node, lead) with the first sets of those shingles."""
         got = [(b.column("token").to_numpy(), b.column("node").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
@@ -194,16 +196,27 @@ def ngram_jaccard(
         token, node = token[once], node[once]
         opens = np.r_[True, token[1:] != token[:-1]]
         group = np.cumsum(opens) - 1
-        many = np.bincount(group)[group] > 1
-        lead = node[np.flatnonzero(opens)][group]
+        first, size = np.flatnonzero(opens), np.bincount(group)
+        names = ["token", "node", "count"]
         for a in range(0, len(token), 100_000):
-            p = np.flatnonzero(many[a : a + 100_000]) + a
-            yield pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), pa.array(lead[p])], ["token", "node", "lead"])
-
-    met = durable(
+            p = np.flatnonzero(size[group[a : a + 100_000]] > 1) + a
+            yield pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), pa.array(np.zeros(len(p), np.int64))], names)
+        place = np.arange(len(token)) - first[group]
+        for k in range(leads):
+            p = np.flatnonzero(place > k)
+            pair = np.stack([node[first[group[p]] + k], node[p]], axis=1)
+            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)]) if len(pair) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[new, len(pair)])
+            for a in range(0, len(new), 100_000):
+                q = new[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[q, 0]), pa.array(pair[q, 1]), pa.array(count[a : a + 100_000])], names)
+
+    fragment_rows = durable(
         texts.mapInArrow(heads, "fragment int, token long, node long").repartition(fragments, "fragment")
-        .mapInArrow(meet, "token long, node long, lead long")
+        .mapInArrow(meet, "token long, node long, count long")
     )
+    met = fragment_rows.where("count = 0").select("token", "node")
 
     def plausible(counted: DataFrame) -> DataFrame:
         """Pairs (a, b, c shared head shingles) that sizes and head overlap still allow."""
@@ -278,16 +291,28 @@ def ngram_jaccard(
             met.select("token", "node").join(linked, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
         )
         open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return durable(placed.join(open_tokens, "token"))
+        return durable(placed.join(open_tokens, "token").join(nodes, "node").select("token", "node", "comp", "n"))
 
-    best = (
-        plausible(met.where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("c")))
-        .groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb")
+    candidates = durable(
+        plausible(
+            fragment_rows.where("count > 0").groupBy(F.col("node").alias("a"), F.col("token").alias("b")).agg(F.sum("count").alias("c"))
+        )
     )
-    empty = spark.createDataFrame([], "a long, b long")
-    links, linked = grown(empty, verified(best))
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    first = candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2)
+    links, linked = grown(spark.createDataFrame([], "a long, b long"), verified(first))
+    # A set that is still apart from the component of one of its leads tries its best lead there.
+    comp = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = (
+        candidates.join(first.select("a", "b"), ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+        .withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b")).where("of_a <> of_b")
+    )
+    best = Window.partitionBy("a", "of_b").orderBy(F.desc("c"), "b")
+    links, linked = grown(links, verified(apart.withColumn("place", F.row_number().over(best)).where("place = 1")))
     open_rows = mixed(linked)
-    shared_by = open_rows.alias("x").join(open_rows.alias("y"), "token").where("x.comp < y.comp")
+    shared_by = open_rows.alias("x").join(open_rows.alias("y"), "token").where(
+        f"x.comp < y.comp AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    )
     exact = shared_by.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
     links, linked = grown(links, verified(plausible(exact)))
 
