@@ -29,17 +29,20 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes the rows to the cluster's shared checkpoint folder and cuts the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Where none is set,
-    as in tests on one machine, a temporary one is made.
+    Where none is set, as in tests on one machine, a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes the rows to the cluster's shared checkpoint folder and cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, line_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, license_scan, line_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_embedding_dedup": embedding_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.query,
+    "op5_license_scan": license_scan.query,
     "op6_toxicity": toxicity.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op8_ngram_jaccard": ngram_jaccard.query,
@@ -20,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.SQL,
+    "op5_license_scan": license_scan.SQL,
 }
