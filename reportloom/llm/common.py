@@ -74,9 +74,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Shortcut: everybody points at the root of its own tree.
         while True:
             over = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            twice = over.join(over.select(F.col("component").alias("next"), F.col("next").alias("top")), "next")
             moved = durable(
-                parent.join(over, "component").select(
-                    "node", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("m")
+                parent.join(twice, "component").select(
+                    "node", F.col("top").alias("component"), (F.col("top") != F.col("next")).alias("m")
                 )
             )
             parent = moved.select("node", "component")

@@ -100,6 +100,7 @@ def ngram_jaccard(
     fragments: int | None = None,
     splits: int = 4,
     leads: int = 3,
+    passages: int = 6,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -159,29 +160,48 @@ def ngram_jaccard(
         texts.mapInArrow(spread, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
         .where("count >= 6").orderBy(F.desc("count"), "token").limit(WIDESPREAD)
     )
-    last = np.sort(np.array([r.token for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))
+    last = np.sort(often.select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
-    def heads(batches):
-        """(fragment, shingle, node) of the head of each set; equal sets once per task."""
-        seen: set[int] = set()
-        for _, sets in _batches(batches, words):
-            token, node = [], []
-            for s in sets:
-                if not len(s) or (d := digest(s)) in seen:
-                    continue
-                seen.add(d)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                head = s[: len(s) - suffix(len(s))]
-                token.append(head)
-                node.append(np.full(len(head), d, dtype=np.int64))
-            if token:
-                token, node = np.concatenate(token), np.concatenate(node)
-                part = (token >> np.uint64(20)) % np.uint64(fragments)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), pa.array(token.view(np.int64)), pa.array(node)], ["fragment", "token", "node"]
-                )
+    def marked(df: DataFrame, column: str):
+        """A broadcast bit for each value of a long column, in a filter of fixed size."""
+        bits = df.groupBy(F.shiftright(F.pmod(column, F.lit(FILTER_BITS)), 6).alias("word")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {FILTER_BITS}) % 64 AS int))")).alias("bits")
+        ).toPandas()
+        marks = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        marks[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64)
+        return spark.sparkContext.broadcast(marks.tobytes())
+
+    def heads(late):
+        """A map to (fragment, shingle, node) of the head of each set; equal sets once per task.
+
+        ``late`` marks shingles that stand behind all others, as ``last`` does.
+        """
+        def run(batches):
+            flags = None if late is None else np.frombuffer(late.value, dtype=np.uint64)
+            seen: set[int] = set()
+            for _, sets in _batches(batches, words):
+                token, node = [], []
+                for s in sets:
+                    if not len(s) or (d := digest(s)) in seen:
+                        continue
+                    seen.add(d)
+                    behind = np.zeros(len(s), dtype=bool)
+                    if len(last):
+                        behind |= last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                    if flags is not None:
+                        v = s % np.uint64(FILTER_BITS)
+                        behind |= (flags[(v >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    head = np.concatenate([s[~behind], s[behind]])[: len(s) - suffix(len(s))]
+                    token.append(head)
+                    node.append(np.full(len(head), d, dtype=np.int64))
+                if token:
+                    token, node = np.concatenate(token), np.concatenate(node)
+                    part = (token >> np.uint64(20)) % np.uint64(fragments)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part.astype(np.int32)), pa.array(token.view(np.int64)), pa.array(node)], ["fragment", "token", "node"]
+                    )
+
+        return run
 
     def meet(batches):
         """What meets in a fragment: rows (token, node) of shingles that two or more sets
@@ -212,11 +232,11 @@ def ngram_jaccard(
                 q = new[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(pair[q, 0]), pa.array(pair[q, 1]), pa.array(count[a : a + 100_000])], names)
 
-    fragment_rows = durable(
-        texts.mapInArrow(heads, "fragment int, token long, node long").repartition(fragments, "fragment")
-        .mapInArrow(meet, "token long, node long, count long")
-    )
-    met = fragment_rows.where("count = 0").select("token", "node")
+    def fragmented(late) -> DataFrame:
+        found = texts.mapInArrow(heads(late), "fragment int, token long, node long").repartition(fragments, "fragment")
+        return durable(found.mapInArrow(meet, "token long, node long, count long"))
+
+    fragment_rows = fragmented(None)
 
     def plausible(counted: DataFrame) -> DataFrame:
         """Pairs (a, b, c shared head shingles) that sizes and head overlap still allow."""
@@ -233,13 +253,7 @@ def ngram_jaccard(
         pairs = durable(pairs.select("a", "b", "na", "nb"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-        at = F.pmod("node", F.lit(FILTER_BITS))
-        bits = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(
-            F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 AS int))")).alias("bits")
-        ).toPandas()
-        marks = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-        marks[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64)
-        shared = spark.sparkContext.broadcast(marks.tobytes())
+        shared = marked(wanted, "node")
         bins = np.arange(splits + 1, dtype=np.float64) * (2.0**64 / splits)
 
         def parts(batches):
@@ -285,10 +299,10 @@ def ngram_jaccard(
         links = durable(links.unionByName(more))
         return links, components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    def mixed(linked: DataFrame) -> DataFrame:
+    def mixed(rows: DataFrame, linked: DataFrame) -> DataFrame:
         """Rows of shingles whose sets are not all in one component."""
         placed = durable(
-            met.select("token", "node").join(linked, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+            rows.where("count = 0").select("token", "node").join(linked, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
         )
         open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         return durable(placed.join(open_tokens, "token").join(nodes, "node").select("token", "node", "comp", "n"))
@@ -309,7 +323,10 @@ def ngram_jaccard(
     )
     best = Window.partitionBy("a", "of_b").orderBy(F.desc("c"), "b")
     links, linked = grown(links, verified(apart.withColumn("place", F.row_number().over(best)).where("place = 1")))
-    open_rows = mixed(linked)
+    # Shingles that many components share, such as those of a quoted passage, move behind
+    # all others; the heads of this better order meet in fewer places.
+    shared = mixed(fragment_rows, linked).groupBy("token").agg(F.approx_count_distinct("comp").alias("n")).where(F.col("n") >= passages)
+    open_rows = mixed(fragmented(marked(shared, "token")), linked)
     shared_by = open_rows.alias("x").join(open_rows.alias("y"), "token").where(
         f"x.comp < y.comp AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     )

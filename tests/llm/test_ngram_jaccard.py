@@ -28,7 +28,7 @@ def brute(rows, k=5, percent=75):
     return sorted(((i, len(s), None if i is None else root(i)) for (i, _), s in zip(rows, sets, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_brute_force(spark, seed):
     rng = random.Random(seed)
     pool = [f"w{k}" for k in range(300)]
