@@ -53,46 +53,32 @@ def partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src, dst long): node, component (smallest node).
 
-    Each round hangs every tree's root under the smallest neighbouring root and
-    halves all paths, so the number of rounds follows the logarithm of the
-    longest chain, not the size of a component. A component of any size stays
-    spread over the partitions; only the count of still moving rows reaches the
-    driver. Edges with a null end are ignored; a self loop gives its node a row.
+    Each round points every node at its smallest smaller neighbour, follows those
+    pointers four steps and contracts the edges to where they lead, until no edge
+    is left. Pointers are edges themselves, so a chain that four steps do not
+    finish stays connected for the next round; the rounds follow the logarithm of
+    the longest chain. A component of any size stays spread over the partitions,
+    and nothing but the number of edges left reaches the driver. Edges with a
+    null end are ignored; a self loop gives its node a row.
     """
     both = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    label = durable(both.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     links = durable(
-        both.where("src <> dst")
-        .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-        .distinct()
+        both.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     )
-    nodes = both.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    parent = durable(
-        nodes.join(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "node", "left")
-        .select("node", F.coalesce("up", "node").alias("component"))
-    )
-    while True:
-        # Shortcut: everybody points at the root of its own tree.
-        while True:
-            over = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            twice = over.join(over.select(F.col("component").alias("next"), F.col("next").alias("top")), "next")
-            moved = durable(
-                parent.join(twice, "component").select(
-                    "node", F.col("top").alias("component"), (F.col("top") != F.col("next")).alias("m")
-                )
-            )
-            parent = moved.select("node", "component")
-            if moved.where("m").isEmpty():
-                break
-        # Hook: a root whose tree touches a smaller root goes under it.
-        end_a = parent.select(F.col("node").alias("a"), F.col("component").alias("ra"))
-        end_b = parent.select(F.col("node").alias("b"), F.col("component").alias("rb"))
-        links = durable(
-            links.join(end_a, "a").join(end_b, "b").where("ra <> rb")
-            .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-        )
-        if links.isEmpty():
-            return parent
-        hooks = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        parent = durable(
-            parent.join(hooks, "node", "left").select("node", F.coalesce("up", "component").alias("component"))
-        )
+    label = label.select("node", F.col("node").alias("component"))
+    while not links.isEmpty():
+        point = links.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y"))
+        for _ in range(2):
+            onward = point.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            point = point.join(onward, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+        point = durable(point)
+
+        def led(df: DataFrame, column: str, point: DataFrame = point) -> DataFrame:
+            to = point.select(F.col("x").alias(column), F.col("y").alias("_to"))
+            return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+        links = led(led(links, "a"), "b").where("a <> b")
+        links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        label = durable(led(label, "component").select("node", "component"))
+    return label
