@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     and nothing but the number of edges left reaches the driver. Edges with a
     null end are ignored; a self loop gives its node a row.
     """
-    both = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    both = durable(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"))
     label = durable(both.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     links = durable(
         both.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
