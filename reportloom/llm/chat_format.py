@@ -57,16 +57,18 @@ class Rendered:
     rewrites_at: int
 
 
-def render(turns: list[Turn], template: Callable[[list[Turn]], str], context: int = 2, exact: int = 16) -> Rendered:
+def render(turns: list[Turn], template: Callable[[list[Turn]], str], context: int = 2, exact: int | None = None) -> Rendered:
     """Renders and locates; spans from the first rewriting turn on are empty at the end.
 
-    The first ``exact`` prefixes are rendered whole. Later turns are rendered
-    behind their last ``context`` turns only, and the text that this predicts is
+    Every prefix is rendered whole, which costs the square of a conversation's
+    length. ``exact`` is for templates known to append alone: only so many
+    prefixes are rendered whole. Later turns are rendered behind their last ``context`` turns only, and the text that this predicts is
     held against the whole prefix whenever the number of turns has doubled and at
-    the end, so a conversation costs a multiple of its length, not its square.
+    the end, so a rewrite that no such point shows goes unseen.
     Where a prediction fails, or a turn does not extend its context, the turns
     since the last comparison are done again with whole prefixes.
     """
+    exact = len(turns) if exact is None else exact
     text, spans, rewrites_at = template([]), [], -1
     k, whole, checked = 0, False, (0, text)
     while k < len(turns):
@@ -104,6 +106,7 @@ def chat_format(
     conversations: DataFrame,
     template: Callable[[list[Turn]], str] = marked_turns,
     loss_roles: tuple[str, ...] = ("assistant",),
+    exact: int | None = None,
 ) -> DataFrame:
     """One row per conversation: conv_id, formatted, spans, rewrites_at.
 
@@ -112,7 +115,7 @@ def chat_format(
     order. Null roles and texts count as empty; rows with a null conv_id form
     one conversation. ``spans`` holds (head_start, text_start, text_end, end,
     loss) for each turn, in code points of ``formatted``; loss marks the roles
-    to learn from. Other columns are ignored; an empty table gives no rows.
+    to learn from. ``exact`` is that of :func:`render`. Other columns are ignored; an empty table gives no rows.
 
     Rows are sorted inside hash partitions of conv_id and streamed: a worker
     holds one conversation at a time. One conversation is one string, so it is
@@ -139,7 +142,7 @@ def chat_format(
         key, turns, done, kept = None, [], [], None
 
         def close():
-            out = render(turns, template)
+            out = render(turns, template, exact=exact)
             spans = [
                 {"head_start": s[0], "text_start": s[1], "text_end": s[2], "end": s[3], "loss": role in loss_roles}
                 for s, (role, _) in zip(out.spans, turns, strict=True)

@@ -74,3 +74,12 @@ def test_query_against_plain_digests(spark, tmp_path):
 
 def test_empty_table(spark):
     assert cf.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).isEmpty()
+
+
+def test_a_rewrite_that_only_late_user_turns_show_is_detected():
+    def budget(turns):
+        old = len(turns) - 20 if turns and turns[-1][0] == "user" and len(turns) > 20 else 0
+        return "".join(f"{role}:{text};" for role, text in turns[max(0, old) :])
+
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(64)]
+    assert cf.render(turns, budget).rewrites_at == 20
