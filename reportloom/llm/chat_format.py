@@ -10,10 +10,10 @@ tail around it, so the text's own place is known without reading the template.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +36,35 @@ def escape(text: str) -> str:
     return re.sub(ESCAPABLE, r"\1\2\\\3", text)
 
 
+@lru_cache(maxsize=1024)
+def _marked(turn: Turn) -> str:
+    role, text = turn
+    return f"<s>{escape(role.replace('%', '%25').replace(chr(10), '%0A'))}\n{escape(text)}</s>\n"
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: each turn as ``<s>role``, a new line, the text, ``</s>``, a new line."""
-    return "".join(
-        f"<s>{escape(role.replace('%', '%25').replace(chr(10), '%0A'))}\n{escape(text)}</s>\n" for role, text in turns
-    )
+    return "".join(map(_marked, turns))
+
+
+def shared_start(a: str, b: str, step: int = 4096) -> int:
+    """How many characters two strings have in common at their start."""
+    at, end = 0, min(len(a), len(b))
+    while step:
+        while at + step <= end and a[at : at + step] == b[at : at + step]:
+            at += step
+        step //= 2
+    return at
+
+
+def shared_end(a: str, b: str, step: int = 4096) -> int:
+    """How many characters two strings have in common at their end."""
+    at, end = 0, min(len(a), len(b))
+    while step:
+        while at + step <= end and a[len(a) - at - step : len(a) - at] == b[len(b) - at - step : len(b) - at]:
+            at += step
+        step //= 2
+    return at
 
 
 def unescaped(text: Column) -> Column:
@@ -78,8 +102,7 @@ def render(turns: list[Turn], template: Callable[[list[Turn]], str], context: in
         fits = after.startswith(before)
         if fits:
             one, two = (template([*turns[start:k], (turns[k][0], probe)]) for probe in "ab")
-            head = len(os.path.commonprefix([one, two]))
-            tail = len(os.path.commonprefix([one[::-1], two[::-1]]))
+            head, tail = shared_start(one, two), shared_end(one, two)
             shift = len(text) - len(before)
             spans.append(tuple(shift + x for x in (len(before), head, max(head, len(after) - tail), len(after))))
             text += after[len(before) :]
@@ -96,7 +119,7 @@ def render(turns: list[Turn], template: Callable[[list[Turn]], str], context: in
             del spans[k:]
     if rewrites_at >= 0:
         before, text = text, template(turns)
-        kept = len(os.path.commonprefix([text, before]))
+        kept = shared_start(text, before)
         spans = [s if s[3] <= kept else (len(text),) * 4 for s in spans]
         spans += [(len(text),) * 4] * (len(turns) - len(spans))
     return Rendered(text, spans, rewrites_at)

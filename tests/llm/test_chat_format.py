@@ -83,3 +83,21 @@ def test_a_rewrite_that_only_late_user_turns_show_is_detected():
 
     turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(64)]
     assert cf.render(turns, budget).rewrites_at == 20
+
+
+def test_a_rewrite_that_is_undone_later_is_detected():
+    blank = lambda lengths: lambda turns: "".join(  # noqa: E731  turn 0 vanishes at these prefixes alone
+        "" if k == 0 and len(turns) in lengths else f"{k}:{t};" for k, (_, t) in enumerate(turns)
+    )
+    turns = [("user", f"t{k}") for k in range(40)]
+    assert cf.render(turns, blank([20])).rewrites_at == 19
+    assert cf.render(turns, blank(range(19, 30))).rewrites_at == 18
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=40), st.text("ab", max_size=40))
+def test_shared_ends(a, b):
+    start = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    end = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    for step in (1, 4, 4096):
+        assert (cf.shared_start(a, b, step), cf.shared_end(a, b, step)) == (start, end)
