@@ -5,7 +5,10 @@ Sequences are planned on the histogram of piece lengths, which has at most
 patterns (lengths that share a sequence) with the number of sequences of each.
 Single lengths, pair sums and triple sums that equal a sequence's remaining gap
 are looked up in the table of available lengths and consumed as often as the
-counts allow; what is left goes best-fit, longest first. Pieces then find their
+counts allow; what is left goes best-fit, longest first. Exact fills that spend the
+small pieces early can leave a rest that nothing fills, so plans that look up fewer
+pieces, or look them up when the longest piece is due, are made too and the one with
+the fewest sequences is taken. Pieces then find their
 place from their rank among the pieces of the same length, without meeting the
 other pieces of their sequence.
 """
@@ -143,78 +146,124 @@ def pieces(docs: DataFrame, vocabulary: tuple, end_id: int, capacity: int, id_co
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths that share a sequence, with their numbers of sequences."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, count in histogram.items():
-        left[length] = count
-    patterns: list[tuple[tuple[int, ...], int]] = []
-
-    def consume(pattern: tuple[int, ...]) -> bool:
-        times = min(left[v] // k for v, k in Counter(pattern).items())
-        if times > 0:
-            for v in pattern:
-                left[v] -= times
-            patterns.append((pattern, int(times)))
-        return times > 0
-
-    if left[capacity]:
-        consume((capacity,))
-    for fill in (1, 2, 3):  # pieces that fill the gap beside the longest one
-        for a in range(capacity - 1, capacity // (fill + 1) - 1, -1):
-            gap = capacity - a
-            if fill == 1:
-                if left[a] and left[gap]:
-                    consume((a, gap))
-            elif fill == 2:
-                if left[a]:
-                    low = np.arange(1, gap // 2 + 1)
-                    for c in low[(left[low] > 0) & (left[gap - low] > 0)][::-1]:
-                        consume((a, int(gap - c), int(c)))
-                        if not left[a]:
-                            break
-            elif left[a]:
-                for b in range(min(a, gap - 2), max(0, -(-gap // 3) - 1), -1):
-                    if not (left[a] and left[b]):
-                        continue
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+class Stock:
+    """Lengths that are left, with their counts, and the patterns that took the others."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, count in histogram.items():
+            self.left[length] = count
+        self.patterns: Patterns = []
+
+    def times(self, pattern: tuple[int, ...]) -> int:
+        """How many sequences of this pattern the counts allow."""
+        return int(min(self.left[v] // k for v, k in Counter(pattern).items()))
+
+    def consume(self, pattern: tuple[int, ...], times: int) -> None:
+        for v in pattern:
+            self.left[v] -= times
+        self.patterns.append((pattern, times))
+
+    def complements(self, held: tuple[int, ...], gap: int, most: int):
+        """Patterns of up to ``most`` more pieces that fill a gap exactly, fewest and longest pieces first."""
+        left = self.left
+        if most >= 1 and left[gap]:
+            yield (*held, gap)
+        if most >= 2:
+            low = np.arange(1, gap // 2 + 1)
+            for c in low[(left[low] > 0) & (left[gap - low] > 0)][::-1].tolist():
+                yield (*held, gap - c, c)
+        if most >= 3:
+            for b in range(gap - 2, -(-gap // 3) - 1, -1):
+                if left[b]:
                     low = np.arange(max(1, gap - b - b), (gap - b) // 2 + 1)
-                    for d in low[(left[low] > 0) & (left[gap - b - low] > 0)][::-1]:
-                        consume((a, b, int(gap - b - d), int(d)))
-                        if not (left[a] and left[b]):
-                            break
-    # Best fit of the rest: always into the smallest gap that takes the piece.
-    gaps: list[int] = []
-    opened: dict[int, list[list]] = {}
-
-    def put(gap: int, pattern: tuple[int, ...], times: int) -> None:
-        if gap not in opened:
-            opened[gap] = []
-            insort(gaps, gap)
-        opened[gap].append([pattern, times])
+                    for d in low[(left[low] > 0) & (left[gap - b - low] > 0)][::-1].tolist():
+                        yield (*held, b, gap - b - d, d)
+
+    def fill(self, held: tuple[int, ...], most: int) -> bool:
+        """Fills the gap beside ``held`` by the first complement that the counts allow, as often as they do."""
+        gap = self.capacity - sum(held)
+        pattern = held if not gap else next((p for p in self.complements(held, gap, most) if self.times(p)), None)
+        if pattern and (times := self.times(pattern)):
+            self.consume(pattern, times)
+            return True
+        return False
+
+    def best_fit(self) -> None:
+        """The rest, longest first: always into the smallest gap that takes the piece."""
+        capacity, left = self.capacity, self.left
+        gaps: list[int] = []
+        opened: dict[int, list[list]] = {}
+
+        def put(gap: int, pattern: tuple[int, ...], times: int) -> None:
+            if gap not in opened:
+                opened[gap] = []
+                insort(gaps, gap)
+            opened[gap].append([pattern, times])
+
+        for a in range(capacity, 0, -1):
+            while left[a]:
+                at = bisect_left(gaps, a)
+                if at == len(gaps):  # as many to a sequence as fit
+                    each = min(capacity // a, int(left[a]))
+                    times = int(left[a]) // each
+                    put(capacity - each * a, (a,) * each, times)
+                    left[a] -= each * times
+                    continue
+                gap = gaps[at]
+                pattern, times = opened[gap].pop()
+                if not opened[gap]:
+                    del opened[gap], gaps[at]
+                each = min(gap // a, max(1, int(left[a]) // times))
+                used = min(times, int(left[a]) // each)
+                left[a] -= each * used
+                put(gap - each * a, pattern + (a,) * each, used)
+                if times > used:
+                    put(gap, pattern, times - used)
+        self.patterns += [(p, t) for found in opened.values() for p, t in found]
+
+
+def complements_first(histogram: dict[int, int], capacity: int, most: int) -> Patterns:
+    """Exact fills by single pieces, then by pairs, then by triples, up to ``most`` pieces; then best fit."""
+    stock = Stock(histogram, capacity)
+    stock.fill((capacity,), 0)
+    for fill in range(1, most + 1):
+        for a in range(capacity - 1, capacity // (fill + 1) - 1, -1):
+            while stock.left[a] and stock.fill((a,), fill):
+                pass
+    stock.best_fit()
+    return stock.patterns
 
+
+def longest_first(histogram: dict[int, int], capacity: int, most: int) -> Patterns:
+    """For the longest piece at a time: exact fills, or else the longest piece that fits, and so on."""
+    stock = Stock(histogram, capacity)
+    left = stock.left
     for a in range(capacity, 0, -1):
         while left[a]:
-            at = bisect_left(gaps, a)
-            if at == len(gaps):  # as many to a sequence as fit
-                each = min(capacity // a, int(left[a]))
-                times = int(left[a]) // each
-                put(capacity - each * a, (a,) * each, times)
-                left[a] -= each * times
-                continue
-            gap = gaps[at]
-            pattern, times = opened[gap].pop()
-            if not opened[gap]:
-                del opened[gap], gaps[at]
-            each = min(gap // a, max(1, int(left[a]) // times))
-            used = min(times, int(left[a]) // each)
-            left[a] -= each * used
-            put(gap - each * a, pattern + (a,) * each, used)
-            if times > used:
-                put(gap, pattern, times - used)
-    return patterns + [(p, t) for found in opened.values() for p, t in found]
-
-
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+            held = (a,)
+            while not stock.fill(held, most):
+                gap = capacity - sum(held)
+                spare = left[: gap + 1] - np.bincount(held, minlength=capacity + 1)[: gap + 1]
+                fits = np.flatnonzero(spare > 0)
+                if not len(fits):
+                    stock.consume(held, stock.times(held))
+                    break
+                held = (*held, int(fits[-1]))
+    return stock.patterns
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Patterns:
+    """Patterns of lengths that share a sequence, with their numbers of sequences: the fewest of several plans."""
+    plans = [make(histogram, capacity, most) for make in (complements_first, longest_first) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda patterns: sum(times for _, times in patterns))
+
+
+def places(patterns: Patterns) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: first ranks of its slots, their first sequence and their offset."""
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken: Counter = Counter()

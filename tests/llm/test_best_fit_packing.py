@@ -47,6 +47,19 @@ def test_plans_use_every_piece_once_and_fit(lengths):
     assert sum(n for _, n in patterns) <= 1.5 * best + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_plans_are_no_worse_than_best_fit_decreasing(lengths):
+    gaps: list[int] = []
+    for v in sorted(lengths, reverse=True):
+        at = min((k for k, g in enumerate(gaps) if g >= v), key=lambda k: gaps[k], default=None)
+        if at is None:
+            gaps.append(64 - v)
+        else:
+            gaps[at] -= v
+    assert sum(n for _, n in plan(Counter(lengths), 64)) <= len(gaps)
+
+
 def test_exact_complements_are_filled():
     assert sum(n for _, n in plan({1024: 5, 600: 7, 424: 7, 500: 3, 300: 3, 224: 3, 400: 2, 200: 4, 224 + 0: 3}, 1024)) == 17
 
