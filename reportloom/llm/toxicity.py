@@ -2,7 +2,8 @@
 
 Tokens (words and their leading characters) get smoothed log-odds between toxic
 and clean documents under a Dirichlet prior. A text is then a sequence of
-scores: what clearly speaks for toxicity adds, any other word costs. One linear
+scores: what clearly speaks for toxicity adds, any other word costs, and more if it
+clearly speaks against. One linear
 scan finds every maximal-scoring segment. Scores of best segments of clean texts
 follow an extreme-value law whose two parameters come from clean training texts,
 so each segment has an expected number of chance finds; a text's evidence is the
@@ -34,29 +35,33 @@ def tokens(word: str) -> set[str]:
     return {t for part in _PARTS.findall(word) for t in (part, *(part[:k] for k in (4, 5, 6) if len(part) > k))}
 
 
-def maximal_segments(hits: list[tuple[int, float]], cost: float) -> list[Segment]:
-    """All maximal-scoring segments of a sequence in linear time.
+def maximal_segments(scores: list[float]) -> list[Segment]:
+    """All maximal-scoring segments of a sequence, as (first place, last place, score), in linear time.
 
-    ``hits`` are the places with a positive score, in order; any other place
-    scores ``-cost``. Returns (first place, last place, score).
+    A candidate is joined with the nearest one before it whose sum starts lower,
+    unless that one already ends as high. Each candidate knows its own nearest
+    lower one, so those in between are skipped for good.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total, last = 0.0, None
-    for place, score in hits:
-        total -= cost * (place if last is None else place - last - 1)
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, nearest that starts lower
+    total = 0.0
+    for place, score in enumerate(scores):
+        if score <= 0:
+            total += score
+            continue
         first, before = place, total
         total += score
-        last = place
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
                 break
             first, before = found[j][0], found[j][2]
+            nearest = found[j][4]
             del found[j:]
-        found.append((first, place, before, total))
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = nearest
+        found.append((first, place, before, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
@@ -74,8 +79,8 @@ class Model:
     def __post_init__(self):
         self.memo: dict[str, float] = {}
 
-    def segments(self, text: str) -> tuple[list[Segment], int]:
-        """All segments of a text and its number of words."""
+    def scores(self, text: str) -> list[float]:
+        """The scores of a text's words: the best of their tokens, less the cost of a word where none is positive."""
         words = text.lower().split()
         memo = self.memo
         missing = {*words}.difference(memo)
@@ -84,9 +89,15 @@ class Model:
                 memo.clear()
                 missing = {*words}
             for w in missing:
-                memo[w] = max((self.lexicon.get(t, 0.0) for t in tokens(w)), default=0.0)
-        hits = [(k, s) for k, s in enumerate(map(memo.__getitem__, words)) if s > 0]
-        return maximal_segments(hits, self.cost), len(words)
+                known = [self.lexicon[t] for t in tokens(w) if t in self.lexicon]
+                best = max(known, default=0.0)
+                memo[w] = best if best > 0 else min(known, default=0.0) - self.cost
+        return list(map(memo.__getitem__, words))
+
+    def segments(self, text: str) -> tuple[list[Segment], int]:
+        """All segments of a text and its number of words."""
+        scores = self.scores(text)
+        return maximal_segments(scores), len(scores)
 
     def surprise(self, score: float, n_words: int) -> float:
         """Minus the logarithm of how many such segments a clean text of that length is expected to hold."""
@@ -103,23 +114,18 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
 
 
-def calibrate(model: Model, scored: list[tuple[bool, float, int, dict[float, int]]]) -> None:
+def calibrate(model: Model, best: list[tuple[float, int]], by_score: dict[float, int]) -> None:
     """Extreme-value parameters from clean texts.
 
-    ``scored`` holds (toxic, best score, words, number of words by positive
-    score). The decay solves sum(p(s) * exp(decay * s)) = 1 over the clean
-    words' scores; given it, the scale has a closed maximum-likelihood form.
+    ``best`` holds (best segment's score, words) of each, ``by_score`` the number
+    of their words by score. The decay solves sum(p(s) * exp(decay * s)) = 1 over
+    the words' scores; given it, the scale has a closed maximum-likelihood form.
     """
-    clean = [x for x in scored if not x[0]]
-    by_score: Counter = Counter()
-    for *_, counts in clean:
-        by_score.update(counts)
-    n = sum(x[2] for x in clean)
-    hits = sum(by_score.values())
-    s = np.array([-model.cost, *by_score])
-    p = np.array([max(1, n - hits), *by_score.values()], dtype=float)
-    p /= p.sum()
-    if hits and (p * s).sum() < 0:
+    if not best:
+        return
+    s, n = (np.array(x, dtype=float) for x in zip(*by_score.items(), strict=True)) if by_score else (np.zeros(1), np.ones(1))
+    p = n / n.sum()
+    if (s > 0).any() and (p * s).sum() < 0:
         low, high = 0.0, 1.0
         while (p * np.exp(high * s)).sum() < 1 and high < 64:
             high *= 2
@@ -127,7 +133,7 @@ def calibrate(model: Model, scored: list[tuple[bool, float, int, dict[float, int
             mid = (low + high) / 2
             low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
         model.decay = max(low, 1e-3)
-    model.scale = len(clean) / max(1e-9, sum(max(1, w) * math.exp(-model.decay * b) for _, b, w, _ in clean)) if clean else 1.0
+    model.scale = len(best) / max(1e-9, sum(max(1, w) * math.exp(-model.decay * b) for b, w in best))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -153,7 +159,6 @@ def fit(
     least_z: float = 3.5,
     margin: float = 2.5,
     cost: float = 1.0,
-    lexicon: int = 20_000,
 ) -> Model:
     """Learns from at most ``sample`` labelled documents (doc_id, toxic).
 
@@ -162,7 +167,8 @@ def fit(
     Documents with the same text count once. ``prior`` is the Dirichlet
     pseudo-count of every token; a token enters the lexicon if its log-odds are
     ``least_z`` standard deviations above zero and exceed ``margin``, which its
-    score leaves out; ``lexicon`` bounds the model. Rows with a null doc_id,
+    score leaves out, or as far below zero. The model follows the sample, not the
+    corpus. Rows with a null doc_id,
     label or text teach nothing; contradicting labels count as toxic. Without
     both classes the model finds nothing and gives every text the base rate.
     """
@@ -207,30 +213,39 @@ def fit(
         .groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .withColumn("odds", odds("toxic", n[True]) - odds("clean", n[False]))
         .withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-        .where((F.col("z") >= least_z) & (F.col("odds") > margin))
-        .orderBy(F.desc("z"), "token").limit(lexicon).select("token", "odds").collect()
+        .where(((F.col("z") >= least_z) & (F.col("odds") > margin)) | (F.col("z") <= -least_z))
+        .select("token", F.when(F.col("odds") > 0, F.col("odds") - margin).otherwise(F.col("odds")).alias("score")).collect()
     )
-    model.lexicon = {r.token: r.odds - margin for r in entries}
+    model.lexicon = {r.token: r.score for r in entries}
 
-    def score(batches):
+    def best(batches):
+        """The best segment and the length of each clean text."""
         for batch in batches:
-            best, words, hits = [], [], []
-            for text in batch.column("text").to_pylist():
-                found, n_words = model.segments(text)
-                best.append(max((s for *_, s in found), default=0.0))
-                words.append(n_words)
-                marks = Counter(s for w in text.lower().split() if (s := model.memo[w]) > 0)
-                hits.append([{"s": s, "n": k} for s, k in marks.items()])
-            kind = pa.list_(pa.struct([("s", pa.float64()), ("n", pa.int64())]))
+            read = [model.segments(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("is_toxic"), pa.array(best, pa.float64()), pa.array(words, pa.int64()), pa.array(hits, kind)],
-                ["is_toxic", "best", "words", "hits"],
+                [pa.array([max((s for *_, s in found), default=0.0) for found, _ in read], pa.float64()), pa.array([n for _, n in read], pa.int64())],
+                ["best", "words"],
             )
 
-    rows = known.mapInArrow(score, "is_toxic boolean, best double, words long, hits array<struct<s:double,n:long>>").collect()
-    calibrate(model, [(r.is_toxic, r.best, r.words, {h.s: h.n for h in r.hits}) for r in rows])
-    evidence = [e if (e := model.surprise(r.best, r.words)) >= -math.log(model.significant) else 0.0 for r in rows]
-    model.intercept, model.slope = logistic(np.array(evidence), np.array([r.is_toxic for r in rows], dtype=float))
+    def tally(batches):
+        """How many words of clean texts have which score."""
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(model.scores(text))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.float64()), pa.array(counts.values(), pa.int64())], ["score", "n"])
+
+    clean = known.where("NOT is_toxic").select("text")
+    by_score = clean.mapInArrow(tally, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    calibrate(model, [tuple(r) for r in clean.mapInArrow(best, "best double, words long").collect()], {r.score: r.n for r in by_score})
+
+    def weigh(batches):
+        for batch in batches:
+            evidence = [model.read(text)[1] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("is_toxic"), pa.array(evidence, pa.float64())], ["is_toxic", "evidence"])
+
+    rows = known.mapInArrow(weigh, "is_toxic boolean, evidence double").collect()
+    model.intercept, model.slope = logistic(np.array([r.evidence for r in rows]), np.array([r.is_toxic for r in rows], dtype=float))
     return model
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 from hypothesis import given, settings
@@ -8,10 +10,10 @@ from reportloom.llm import toxicity as tx
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from([0, 0, 0, 1.5, 4.0, 0.5]), max_size=25))
+@given(st.lists(st.sampled_from([0, 0, 0, 1.5, 4.0, 0.5, -2.5]), max_size=25))
 def test_segments_against_the_definition(scores):
     """Maximal segments: recursively take the best-scoring segment, then both sides."""
-    signed = [s if s > 0 else -1.0 for s in scores]
+    signed = [s if s else -1.0 for s in scores]
 
     def brute(a, b):
         best = max(((sum(signed[i:j]), -(j - i), -i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
@@ -20,11 +22,32 @@ def test_segments_against_the_definition(scores):
         i, j = -best[2], best[3]
         return [*brute(a, i), (i, j - 1, best[0]), *brute(j, b)]
 
-    got = tx.maximal_segments([(k, s) for k, s in enumerate(scores) if s > 0], 1.0)
+    got = tx.maximal_segments(signed)
     assert sum(s for *_, s in got) == sum(s for *_, s in brute(0, len(signed)))
     assert max((s for *_, s in got), default=0) == max((s for *_, s in brute(0, len(signed))), default=0)
 
 
+def test_many_separate_hits_take_linear_time():
+    began = time.process_time()
+    for scores in ([1.0, -9.0] * 160_000, [1.0, -0.5] * 160_000, [x for k in range(400) for x in [-1.0] * k + [0.5] * k]):
+        found = tx.maximal_segments(scores)
+        assert sum(s for *_, s in found) > 0
+    assert time.process_time() - began < 4
+
+
+def test_model_by_hand():
+    """Scores, extreme-value calibration and evidence against the formulas."""
+    model = tx.Model(lexicon={"bad": 3.0, "good": -1.5, "badly": 1.0}, cost=1.0)
+    assert model.scores("Bad day, badly good") == [3.0, -1.0, 1.0, -2.5]
+    by_score = {-1.0: 90, -2.5: 5, 3.0: 5}
+    tx.calibrate(model, [(3.0, 50), (0.0, 50), (6.0, 100)], by_score)
+    assert abs(sum(n / 100 * math.exp(model.decay * s) for s, n in by_score.items()) - 1) < 1e-6
+    assert abs(model.scale - 3 / (50 * math.exp(-3 * model.decay) + 50 + 100 * math.exp(-6 * model.decay))) < 1e-9
+    kept, evidence = model.read("bad " * 30)
+    assert [(a, b) for a, b, *_ in kept] == [(0, 29)] and abs(evidence - (model.decay * 90 - math.log(model.scale * 30))) < 1e-9
+    assert model.read("day " * 30) == ([], 0) and model.read("") == ([], 0)
+
+
 def corpus(n=600):
     rng = random.Random(4)
     syllables = ["an", "ter", "lo", "mi", "ka", "res", "to"]
