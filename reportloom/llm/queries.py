@@ -18,8 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_embedding_dedup": embedding_dedup.query,
-    "op3_quality_rules": quality_rules.query,
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op4_source_mix": source_mix.SQL,
     "op5_license_scan": license_scan.SQL,
 }
