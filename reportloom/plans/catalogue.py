@@ -9,7 +9,7 @@ from reportloom.functions import directives, periods
 from reportloom.functions import scalars as sc
 from reportloom.operators import analytics as an
 from reportloom.operators import mapping, tables
-from reportloom.plans.views import DOCUMENTS_SQL, SALES_SQL, documents, report_grids, sales, table, year_to_date
+from reportloom.plans.views import DOCUMENTS_SQL, GRIDS_SQL, SALES_SQL, documents, pinned_grids, report_grids, sales, table, year_to_date
 from reportloom.sources import envelope
 
 QUERIES: dict = {}
@@ -60,32 +60,41 @@ def monthly_from_ytd(spark, d):
     )
 
 
-def _two_months(spark, d):
-    s = sales(spark, d).where(F.year("date") == 1996)
-    return s.where(F.month("date") <= 3), s.where(F.month("date") <= 2)
+def _line_sets(spark, d):
+    """The lines of each month's year-to-date report, and of the report before it."""
+    s = sales(spark, d).withColumn("y", F.year("date")).withColumn("_m", F.month("date"))
+    since = lambda rows, first: rows.withColumn("m", F.explode(F.sequence(first, F.lit(12)))).drop("_m")
+    return since(s, F.col("_m")), since(s.where("_m < 12"), F.col("_m") + 1)
 
 
 _ORDER = ["customer_id", "part_no", "date", "net_sales", "commission", "quantity"]
-_KEYS = "manufacturer, customer_id, customer_name, city, state, product_family, part_no, part_description"
-_DELTA = f"""WITH s AS ({SALES_SQL}), c AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM s WHERE year(date) = 1996 AND month(date) <= 3 GROUP BY ALL),
-  p AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM s WHERE year(date) = 1996 AND month(date) <= 2 GROUP BY ALL),
+_BY = ["manufacturer", "y", "m"]
+_KEYS = "manufacturer, y, m, customer_id, customer_name, city, state, product_family, part_no, part_description"
+_DELTA = f"""WITH s AS ({SALES_SQL}), t AS (SELECT *, year(date)::INT AS y, unnest(range(month(date), 13))::INT AS m FROM s),
+  q AS (SELECT * REPLACE (m + 1 AS m) FROM t WHERE m < 12),
+  c AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM t GROUP BY ALL), p AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM q GROUP BY ALL),
   x AS (SELECT {_KEYS}, (coalesce(c.n, 0) - coalesce(p.n, 0))::DECIMAL(18,2) AS net_sales, (coalesce(c.k, 0) - coalesce(p.k, 0))::DECIMAL(18,2) AS commission
         FROM c FULL JOIN p USING ({_KEYS})), delta AS (SELECT * FROM x WHERE net_sales <> 0 OR commission <> 0)"""
 
 
 @query(f"{_DELTA} SELECT * FROM delta")
 def line_delta(spark, d):
-    current, previous = _two_months(spark, d)
-    return an.line_delta(current, previous, _ORDER, ["manufacturer"])
+    """Each month's lines from its year-to-date report and the one before."""
+    current, previous = _line_sets(spark, d)
+    return an.line_delta(current, previous, _ORDER, _BY)
 
 
-@query(f"{_DELTA} SELECT (SELECT sum(net_sales) FROM delta)::DECIMAL(18,2) AS delta, ((SELECT sum(n) FROM c) - (SELECT sum(n) FROM p))::DECIMAL(18,2) AS difference")
+@query(f"""{_DELTA}, sums AS (SELECT manufacturer, y, m, sum(net_sales)::DECIMAL(18,2) AS delta FROM delta GROUP BY ALL),
+  cs AS (SELECT manufacturer, y, m, sum(n) AS n FROM c GROUP BY ALL), ps AS (SELECT manufacturer, y, m, sum(n) AS n FROM p GROUP BY ALL)
+  SELECT manufacturer, y, m, coalesce(delta, 0)::DECIMAL(18,2) AS delta, (cs.n - coalesce(ps.n, 0))::DECIMAL(18,2) AS difference
+  FROM cs LEFT JOIN ps USING (manufacturer, y, m) LEFT JOIN sums USING (manufacturer, y, m)""")
 def delta_total_check(spark, d):
-    current, previous = _two_months(spark, d)
-    delta = an.line_delta(current, previous, _ORDER, ["manufacturer"]).agg(sc.total(F.col("net_sales")).alias("delta"))
-    one = lambda s, name: s.agg(sc.total(F.col("net_sales")).alias(name))
-    both = one(current, "_c").join(one(previous, "_p"), F.lit(True))
-    return delta.join(both.select((F.col("_c") - F.col("_p")).cast(sc.CENTS).alias("difference")), F.lit(True))
+    """The line deltas of a month add up to the difference of its reports' totals."""
+    current, previous = _line_sets(spark, d)
+    sums = lambda rows, name: rows.groupBy(*_BY).agg(sc.total(F.col("net_sales")).alias(name))
+    zero = F.lit(0).cast(sc.CENTS)
+    both = sums(current, "_c").join(sums(previous, "_p"), _BY, "left").join(sums(an.line_delta(current, previous, _ORDER, _BY), "delta"), _BY, "left")
+    return both.select(*_BY, F.coalesce("delta", zero).alias("delta"), (F.col("_c") - F.coalesce("_p", zero)).cast(sc.CENTS).alias("difference"))
 
 
 _LATEST = f"""WITH docs AS ({DOCUMENTS_SQL}), latest AS (SELECT * FROM docs WHERE is_cumulative AND total_net_sales IS NOT NULL
@@ -200,7 +209,12 @@ def text_line_split(spark, d):
     )
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS ps FROM documents),
+  r AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk_no, ps[1] AS chunk FROM p
+    UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(chunk) + 2 + length(ps[i + 1]) <= 1000 THEN chunk_no ELSE chunk_no + 1 END,
+      CASE WHEN length(chunk) + 2 + length(ps[i + 1]) <= 1000 THEN chunk || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END FROM r WHERE i < len(ps)),
+  f AS (SELECT doc_id, chunk_no, arg_max(chunk, i) AS chunk FROM r GROUP BY ALL)
+  SELECT doc_id, chunk_no, length(chunk)::INT AS chars, md5(chunk) AS digest FROM f""")
 def paragraph_chunking(spark, d):
     chunks = tables.text_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000)
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
@@ -247,34 +261,48 @@ def pinned_override(spark, d):
     return mapping.override_by_ordinal(r, pinned).select("doc_id", "row_no", "net_sales")
 
 
-@query()
+_PRICE = "CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE rtrim(round(p_retailprice, 4)::DECIMAL(18,4)::VARCHAR, '0') END"
+_HEADER = "'ITEM NO' || CASE WHEN twice THEN '' WHEN odd THEN ' | ITEM NO' ELSE ' | SKU' END || ' | DESCRIPTION | CATEGORY | INV DATE | NET SALES'"
+
+
+@query(f"""WITH {GRIDS_SQL}
+  SELECT p_brand AS doc_id, 1::BIGINT AS row_no, 'preamble' AS kind, 'Report of ' || p_brand AS line FROM b
+  UNION ALL SELECT p_brand, 2, 'label', 'Sales Org' || repeat(' | ', 6) FROM b UNION ALL SELECT p_brand, 3, 'header', {_HEADER} FROM b
+  UNION ALL SELECT p_brand, last + 11, 'total', CASE WHEN twice THEN '' ELSE ' | ' END || ' | Subtotal |  |  | 9.5' FROM b
+  UNION ALL SELECT p_brand, last + 12, 'note', 'Figures are provisional' FROM b
+  UNION ALL SELECT p_brand, row_no, kind, CASE kind WHEN 'note' THEN 'Note on ' || p_name
+    WHEN 'total' THEN CASE WHEN twice THEN '' ELSE ' | ' END || ' | Subtotal |  |  | ' || p_retailprice::VARCHAR
+    ELSE k || CASE WHEN twice THEN '' WHEN odd THEN ' | ' || k ELSE ' | K' || k END || ' | ' || p_name || ' | ' || p_type || ' | ' ||
+      strftime(DATE '1899-12-30' + (45000 + k % 2000)::INT, '%Y-%m-%d') || ' | ' || {_PRICE} END FROM g""")
 def normalized_reports(spark, d):
     return tables.normalize(report_grids(spark, d)).select("doc_id", "row_no", "kind", F.array_join("cells", " | ").alias("line"))
 
 
-@query("""SELECT p_brand AS doc_id, count(*) AS rows, 1::BIGINT AS dropped_totals, 1::BIGINT AS notes, 5 AS columns, false AS pivot FROM part GROUP BY 1""")
+@query(f"WITH {GRIDS_SQL} SELECT p_brand AS doc_id, n_rows AS rows, n_totals AS dropped_totals, n_notes AS notes, (CASE WHEN twice THEN 5 ELSE 6 END)::INT AS columns, false AS pivot FROM b")
 def normalize_metrics(spark, d):
     return tables.metrics(tables.normalize(report_grids(spark, d))).drop("block_no")
 
 
-@query("SELECT p_brand AS doc_id, p_partkey::VARCHAR AS part_no, p_name AS part_description, p_type AS product_family, DATE '1899-12-30' + (45000 + p_partkey % 2000)::INT AS date, round_even(p_retailprice, 2) AS net_sales FROM part")
+@query(f"""WITH {GRIDS_SQL} SELECT p_brand AS doc_id, k::VARCHAR AS part_no, p_name AS part_description, p_type AS product_family, DATE '1899-12-30' + (45000 + k % 2000)::INT AS date,
+  round_even(p_retailprice, 2) AS net_sales FROM g WHERE kind = 'row'""")
 def mapped_reports(spark, d):
     """One canonical row per data row of the messy reports."""
     mapped = mapping.canonical(tables.normalize(report_grids(spark, d)))
     return mapped.select("doc_id", "part_no", "part_description", "product_family", "date", "net_sales")
 
 
-@query("SELECT p_brand AS doc_id, 3::BIGINT AS row_no, 'ITEM NO | DESCRIPTION | CATEGORY | INV DATE | NET SALES' AS line FROM part GROUP BY 1")
+@query(f"WITH {GRIDS_SQL} SELECT p_brand AS doc_id, 3::BIGINT AS row_no, {_HEADER} AS line FROM b")
 def header_inference(spark, d):
     return tables.normalize(report_grids(spark, d)).where("kind = 'header'").select("doc_id", "row_no", F.array_join("cells", " | ").alias("line"))
 
 
-@query("SELECT p_brand AS doc_id, unnest(['Report of ' || p_brand, 'Figures are provisional']) AS text, unnest(['preamble', 'note']) AS kind FROM part GROUP BY 1")
+@query(f"""WITH {GRIDS_SQL} SELECT p_brand AS doc_id, unnest(['Report of ' || p_brand, 'Figures are provisional']) AS text, unnest(['preamble', 'note']) AS kind FROM b
+  UNION ALL SELECT p_brand, 'Note on ' || p_name, 'note' FROM g WHERE kind = 'note'""")
 def banners_and_notes(spark, d):
     return tables.normalize(report_grids(spark, d)).where("kind IN ('preamble', 'note')").select("doc_id", F.get("cells", F.lit(0)).alias("text"), "kind")
 
 
-@query("SELECT p_brand AS doc_id, [0, 2, 3, 4, 5] AS columns FROM part GROUP BY 1")
+@query(f"WITH {GRIDS_SQL} SELECT p_brand AS doc_id, CASE WHEN odd THEN [0, 2, 3, 4, 5] ELSE [0, 1, 2, 3, 4, 5] END AS columns FROM b")
 def column_dedup(spark, d):
     grid = report_grids(spark, d).where("row_no > 10")
     return tables.column_selection(grid.where(~tables.is_note(F.col("cells")) & ~tables.is_total(F.col("cells")))).select("doc_id", "columns")
@@ -292,10 +320,14 @@ def pivot_collapse(spark, d):
     return done.where("kind = 'row'").select("doc_id", F.array_join("cells", " | ").alias("line"))
 
 
-@query("SELECT p_brand AS doc_id, 'ITEM NO | DESCRIPTION | CATEGORY | INV DATE | NET SALES' AS line FROM part GROUP BY 1")
+@query(f"""WITH h AS (SELECT *, right(p_brand, 1)::INT % 2 = 1 AS odd FROM part)
+  SELECT p_brand AS doc_id, 0::BIGINT AS row_no, 'ITEM NO | DESCRIPTION | ' || CASE WHEN any_value(odd) THEN 'NET CURRENT' ELSE 'NET PRIOR YEAR | NET CURRENT | RANGE OF SALES' END AS line FROM h GROUP BY 1
+  UNION ALL SELECT p_brand, p_partkey + 1, 'P' || p_partkey || ' | text ' || p_partkey || ' | ' ||
+    CASE WHEN odd THEN {_PRICE} ELSE p_size || ' | ' || {_PRICE} || ' | ' || p_partkey || '5' END FROM h""")
 def per_sheet_pin(spark, d):
-    pins = spark.createDataFrame([("SHEET1", "net"), (None, "item")], "sheet string, prefix string")
-    return tables.normalize(report_grids(spark, d), pins).where("kind = 'header'").select("doc_id", F.array_join("cells", " | ").alias("line"))
+    """On one sheet the pinned money column wins over prior and range columns; on the other no column has the pin's prefix."""
+    pins = spark.createDataFrame([("SUMMARY", "net c"), (None, "gross")], "sheet string, prefix string")
+    return tables.normalize(pinned_grids(spark, d), pins).select("doc_id", "row_no", F.array_join("cells", " | ").alias("line"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Sheet ' || c_custkey WHEN c_custkey % 3 = 1 THEN c_name END AS sheet,
@@ -308,9 +340,11 @@ def directive_parse(spark, d):
     return table(spark, d, "customer").select("c_custkey", directives.sheet_name(text).alias("sheet"), directives.money_prefix(text).alias("prefix"))
 
 
-@query(f"WITH docs AS ({DOCUMENTS_SQL}) SELECT id, is_cumulative AS cumulative FROM docs")
+@query(f"WITH docs AS ({DOCUMENTS_SQL}) SELECT id, is_cumulative OR id::BIGINT % 9 = 0 AS cumulative FROM docs")
 def cumulative_detect(spark, d):
-    return documents(spark, d).select("id", periods.looks_cumulative(F.col("original_file_name"), F.array(F.lit("PYTD"))).alias("cumulative"))
+    """By the file name, or by a cell that says exactly YTD."""
+    cells = F.array(F.lit("PYTD"), F.when(F.col("id").cast("long") % 9 == 0, " ytd ").otherwise("YTD sales"))
+    return documents(spark, d).select("id", periods.looks_cumulative(F.col("original_file_name"), cells).alias("cumulative"))
 
 
 @query("SELECT doc_id, 0 AS content_no, source AS sheet, md5(text) AS digest FROM documents")

@@ -81,26 +81,56 @@ def year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _odd(brand):
+    """Brands whose second column repeats the first."""
+    return F.right(brand, F.lit(1)).cast("int") % 2 == 1
+
+
 def report_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A messy report per brand as grid rows: banner, field name, header, data, totals, a footnote."""
+    """A messy report per brand as grid rows: banner, field name, header, data, totals, notes.
+
+    Every 17th part is a subtotal and every 29th of the others a note.
+    """
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_type", F.col("p_retailprice").cast("string").alias("price"))
-    blank = F.lit("")
-    data = p.select(
-        F.col("p_brand").alias("doc_id"), (F.col("p_partkey") + 10).alias("row_no"),
-        F.array(
-            F.col("p_partkey").cast("string"), F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"),
-            (F.lit(45_000) + F.col("p_partkey") % 2000).cast("string"), F.col("price"), blank,
-        ).alias("cells"),
+    blank, key = F.lit(""), F.col("p_partkey")
+    text = key.cast("string")
+    part = F.array(
+        text, F.when(_odd("p_brand"), text).otherwise(F.concat(F.lit("K"), text)), F.col("p_name"), F.col("p_type"),
+        (F.lit(45_000) + key % 2000).cast("string"), F.col("price"), blank,
+    )
+    subtotal = F.array(blank, blank, F.lit("Subtotal"), blank, blank, F.col("price"), blank)
+    note = F.array(F.concat(F.lit("Note on "), F.col("p_name")), *[blank] * 6)
+    rows = p.select(
+        F.col("p_brand").alias("doc_id"), (key + 10).alias("row_no"),
+        F.when(key % 17 == 0, subtotal).when(key % 29 == 0, note).otherwise(part).alias("cells"),
     )
     brands = p.groupBy("p_brand").agg(F.max("p_partkey").alias("last"))
+    heads = [F.lit("ITEM NO"), F.when(_odd("p_brand"), "ITEM NO").otherwise("SKU"), *(F.lit(h) for h in ("DESCRIPTION", "CATEGORY", "INV DATE", "NET SALES", ""))]
     fixed = [
         (1, F.array(*[F.concat(F.lit("Report of "), F.col("p_brand"))] * 4, blank, blank, blank)),
         (2, F.array(F.lit("Sales Org"), *[blank] * 6)),
-        (3, F.array(*(F.lit(h) for h in ("ITEM NO", "ITEM NO", "DESCRIPTION", "CATEGORY", "INV DATE", "NET SALES", "")))),
+        (3, F.array(*heads)),
     ]
-    rows = data
     for n, cells in fixed:
         rows = rows.unionByName(brands.select(F.col("p_brand").alias("doc_id"), F.lit(n).cast("long").alias("row_no"), cells.alias("cells")))
     for k, cells in enumerate((F.array(blank, blank, F.lit("Subtotal"), *[blank] * 2, F.lit("9.5"), blank), F.array(F.lit("Figures are provisional"), *[blank] * 6))):
         rows = rows.unionByName(brands.select(F.col("p_brand").alias("doc_id"), (F.col("last") + 11 + k).alias("row_no"), cells.alias("cells")))
     return rows.select("doc_id", F.lit(1).alias("block_no"), F.lit("Sheet1").alias("sheet"), "row_no", "cells")
+
+
+#: CTEs: g has the parts with their kind, b each brand with its kept columns (one column fewer where nine in ten rows repeat).
+GRIDS_SQL = """p AS (SELECT *, p_partkey AS k, right(p_brand, 1)::INT % 2 = 1 AS odd,
+    CASE WHEN p_partkey % 17 = 0 THEN 'total' WHEN p_partkey % 29 = 0 THEN 'note' ELSE 'row' END AS kind FROM part),
+  b AS (SELECT p_brand, any_value(odd) AS odd, max(k) AS last, count_if(kind = 'row') AS n_rows, count_if(kind = 'total') + 1 AS n_totals, count_if(kind = 'note') + 1 AS n_notes,
+    any_value(odd) AND count_if(kind = 'row') + 1 >= 0.9 * (count_if(kind = 'row') + 1 + count_if(kind = 'note') + 1) AS twice FROM p GROUP BY 1),
+  g AS (SELECT p.*, b.twice, k + 10 AS row_no FROM p JOIN b USING (p_brand))"""
+
+
+def pinned_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per brand with this period's, the prior year's and a range's figures, on one of two sheets."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.col("p_retailprice").cast("string").alias("price"))
+    key, doc = F.col("p_partkey").cast("string"), F.col("p_brand").alias("doc_id")
+    data = p.select(doc, (F.col("p_partkey") + 1).alias("row_no"), F.array(F.concat(F.lit("P"), key), F.concat(F.lit("text "), key), F.col("p_size").cast("string"), F.col("price"), F.concat(key, F.lit("5"))).alias("cells"))
+    heads = F.array(*map(F.lit, ("ITEM NO", "DESCRIPTION", "NET PRIOR YEAR", "NET CURRENT", "RANGE OF SALES")))
+    rows = data.unionByName(p.select("p_brand").distinct().select(doc, F.lit(0).cast("long").alias("row_no"), heads.alias("cells")))
+    return rows.select("doc_id", F.lit(1).alias("block_no"), F.when(_odd("doc_id"), "Summary").otherwise("Detail").alias("sheet"), "row_no", "cells")
