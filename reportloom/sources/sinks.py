@@ -1,22 +1,83 @@
-"""Sinks that may be run again: writing a document twice leaves one copy."""
+"""Sinks that may be run again: writing a document twice leaves one copy.
+
+A store is a folder of Parquet parts. What belongs to one document is found by its id,
+which is dealt to a fixed number of buckets, so a store has as many folders as buckets
+however many documents it holds. Writing documents rewrites the buckets they fall into.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "v1"
+BUCKETS = 64
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _renamed(spark: SparkSession, old: str, new: str) -> None:
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(make(new), True)
+    files.rename(make(old), make(new))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a store, or None where nothing has been written yet."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("bucket") if _exists(spark, path) else None
+
+
+def replace_documents(rows: DataFrame, path: str, key: str = "doc_id", of: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Rows of the documents ``of`` (by default those in ``rows``) replace those documents' rows and no others.
+
+    A document of ``of`` without rows loses its old ones. Old rows of the buckets
+    concerned are written aside first, so nothing that is read is overwritten. A
+    new column of ``rows`` is null in old rows, a missing one null in new ones.
+    """
+    spark = rows.sparkSession
+    ids = (rows if of is None else of).select(key).distinct()
+    fresh = rows.withColumn("bucket", bucket_of(F.col(key), buckets))
+    if not _exists(spark, path):
+        fresh.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return
+    touched = [r.bucket for r in ids.select(bucket_of(F.col(key), buckets).alias("bucket")).distinct().collect()]  # at most ``buckets``
+    old = spark.read.option("mergeSchema", "true").parquet(path).where(F.col("bucket").isin(touched)).join(ids, key, "left_anti")
+    aside = f"{path.rstrip('/')}-aside-{uuid.uuid4().hex}"
+    old.unionByName(fresh, allowMissingColumns=True).repartition("bucket").write.partitionBy("bucket").parquet(aside)
+    for number in touched:
+        if _exists(spark, f"{aside}/bucket={number}"):
+            _renamed(spark, f"{aside}/bucket={number}", f"{path}/bucket={number}")
+        else:
+            spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(
+                spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}"), True
+            )
+
+
+def delete_documents(ids: DataFrame, *paths: str, key: str = "doc_id") -> None:
+    """All rows of the documents in every store: raw, canonical, status."""
+    for path in paths:
+        if (held := read(ids.sparkSession, path)) is not None:
+            replace_documents(held.where("false"), path, key, ids)
 
 
-def write_sales(sales: DataFrame, path: str, by: tuple[str, ...] = ("manufacturer", "period_year")) -> None:
-    """Canonical rows with their schema version; only the partitions present are replaced."""
-    versioned = sales.withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def write_sales(sales: DataFrame, path: str, of: DataFrame | None = None) -> None:
+    """Canonical rows with their schema version; a document that comes again replaces its rows."""
+    replace_documents(sales.withColumn("schema_version", F.lit(SCHEMA_VERSION)), path, of=of)
 
 
-def write_document_parts(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Rows of re-analysed documents replace those documents' rows and no others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def write_raw(raw: DataFrame, path: str) -> None:
+    """Envelopes as they came (doc_id, raw_json): kept, so that a document can be analysed again without its source."""
+    replace_documents(raw.select("doc_id", "raw_json", F.current_timestamp().alias("extracted_ts")), path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

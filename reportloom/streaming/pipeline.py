@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,13 +12,76 @@ from reportloom.operators import mapping, tables
 from reportloom.sources import envelope, sinks
 
 ENVELOPES = "doc_id STRING, raw_json STRING"
+#: The states a document passes, with its progress in each.
+STATES = {"Queued": 0.0, "Extracting": 10.0, "Mapping": 50.0, "Done": 100.0, "Failed": 100.0, "Cancelled": 100.0}
+#: Where a document may go from each state; an analysis may begin anew from any end.
+NEXT = {"Queued": ["Extracting", "Failed", "Cancelled"], "Extracting": ["Mapping", "Failed", "Cancelled"], "Mapping": ["Done", "Failed", "Cancelled"],
+        "Done": ["Queued"], "Failed": ["Queued"], "Cancelled": ["Queued"]}
 
 
 def analyse(raw: DataFrame) -> DataFrame:
-    """Envelopes to canonical rows."""
-    sheets = envelope.contents(raw).select(F.concat_ws("#", "doc_id", F.col("content_no").cast("string")).alias("doc_id"), F.col("markdown").alias("text"))
+    """Envelopes to canonical rows; each sheet's blocks stay apart, ids are left as they are."""
+    sheets = envelope.contents(raw).select(F.struct("doc_id", "content_no").alias("doc_id"), F.col("markdown").alias("text"))
     clean = tables.normalize(tables.grid(tables.text_lines(sheets)))
-    return mapping.canonical(clean).withColumn("doc_id", F.substring_index("doc_id", "#", 1))
+    return mapping.canonical(clean).withColumns({"content_no": F.col("doc_id.content_no"), "doc_id": F.col("doc_id.doc_id")})
+
+
+def states(ids: DataFrame, state: str, error: str | None = None) -> DataFrame:
+    """Status rows: doc_id, status, progress_pct, error_message."""
+    return ids.select(
+        "doc_id", F.lit(state).alias("status"), F.lit(STATES[state]).alias("progress_pct"), F.lit(error).cast("string").alias("error_message")
+    )
+
+
+def allowed(was: str, now: str) -> bool:
+    return was == now or now in NEXT.get(was, [])
+
+
+def newest_of(queued: DataFrame) -> DataFrame:
+    """One envelope of each document: the one that arrived last, by file time, then by its text."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("arrived"), F.desc("raw_json"))
+    return queued.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def tag(document: str) -> str:
+    return f"document-{document}"
+
+
+def process(raw: DataFrame, target: str, work: Callable[[DataFrame], DataFrame] = analyse) -> None:
+    """Analyses documents and stores rows and statuses; one that fails leaves the others alone.
+
+    All go in one job first, since that is fast. Only where it fails are they done in
+    halves, down to the one that fails, which is marked Failed with its reason and keeps
+    its earlier rows. A single document's jobs carry its tag (see :func:`cancel`).
+    """
+    spark = raw.sparkSession
+    context = spark.sparkContext
+    documents = raw.select("doc_id").distinct()
+    try:
+        sinks.write_sales(work(raw), f"{target}/sales", documents)
+        sinks.replace_documents(states(documents, "Done"), f"{target}/status")
+        return
+    except Exception as error:
+        reason = str(error)[:500]
+    found = [r.doc_id for r in documents.orderBy("doc_id").limit(2).collect()]
+    if len(found) < 2:
+        cancelled = "cancelled" in reason.lower() and "tag" in reason.lower()
+        sinks.replace_documents(states(documents, "Cancelled" if cancelled else "Failed", reason), f"{target}/status")
+        return
+    middle = documents.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY xxhash64(doc_id))").alias("m")).first().m
+    low = F.xxhash64("doc_id") <= middle
+    halves = [raw.where(low), raw.where(~low)]
+    if any(h.isEmpty() for h in halves):  # only by equal hashes
+        halves = [raw.where(F.col("doc_id") == found[0]), raw.where(F.col("doc_id") != found[0])]
+    for half in halves:
+        few = [r.doc_id for r in half.select("doc_id").distinct().limit(2).collect()]
+        if len(few) == 1:
+            context.addJobTag(tag(few[0]))
+        try:
+            process(half, target, work)
+        finally:
+            if len(few) == 1:
+                context.removeJobTag(tag(few[0]))
 
 
 def start(
@@ -27,27 +90,39 @@ def start(
 ) -> StreamingQuery:
     """Analyses what has arrived and stops; started again, goes on where it was.
 
-    A document that is queued twice in a batch is analysed once, and a document
-    that comes again replaces its earlier rows, so a restart repeats nothing. A
-    batch that fails leaves its documents marked Failed with the reason.
+    A document that is queued twice in a batch is analysed once, as it came last, and
+    a document that comes again replaces its earlier rows, so a restart repeats
+    nothing. Envelopes are kept as they came in ``target``/raw.
     """
     def batch(frame: DataFrame, number: int) -> None:
-        newest = frame.dropDuplicates(["doc_id"])
-        status = newest.select("doc_id")
+        newest = newest_of(frame).select("doc_id", "raw_json").persist()
         try:
-            sinks.write_document_parts(work(newest), f"{target}/sales")
-            status = status.withColumn("status", F.lit("Done")).withColumn("error_message", F.lit(None).cast("string"))
-        except Exception as error:  # one batch must not end the queue
-            status = status.withColumn("status", F.lit("Failed")).withColumn("error_message", F.lit(str(error)[:500]))
-        status.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{target}/status")
+            sinks.write_raw(newest, f"{target}/raw")
+            sinks.replace_documents(states(newest.select("doc_id"), "Mapping"), f"{target}/status")
+            process(newest, target, work)
+        finally:
+            newest.unpersist()
 
     stream = spark.readStream.schema(ENVELOPES).option("maxFilesPerTrigger", files_per_batch).json(source)
+    stream = stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reanalyse(spark: SparkSession, target: str, ids: DataFrame, work: Callable[[DataFrame], DataFrame] = analyse) -> None:
+    """Canonical rows and statuses of these documents anew from the raw envelopes, which stay."""
+    raw = sinks.read(spark, f"{target}/raw")
+    if raw is not None:
+        process(raw.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_json"), target, work)
+
+
+def delete(target: str, ids: DataFrame) -> None:
+    """Everything held of these documents."""
+    sinks.delete_documents(ids, f"{target}/raw", f"{target}/sales", f"{target}/status")
+
+
 def cancel(spark: SparkSession, document: str) -> None:
-    """Cancels the jobs tagged with a document's id."""
-    spark.sparkContext.cancelJobsWithTag(f"document-{document}")
+    """Cancels the jobs of a document that is analysed on its own; it ends as Cancelled."""
+    spark.sparkContext.cancelJobsWithTag(tag(document))
 
 
 def backfill(documents: DataFrame, sales: DataFrame) -> DataFrame:
