@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

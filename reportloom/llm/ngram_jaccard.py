@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import components, durable, partitions, ship, table
+from reportloom.llm.common import components, durable, partitions, ship, stored, sweep, table
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter that spares most texts which hold no wanted set a second parse; a
@@ -216,6 +216,7 @@ def ngram_jaccard(
     smallest = F.ceil(F.col("n") * percent / 100)  # that a partner may be
     alive = durable(met.groupBy("node").agg(F.count("*").alias("c")).join(nodes, "node").where(F.col("c") >= least(smallest)).select("node", "n", "id"))
     met = durable(met.join(alive.select("node", "n"), "node"))
+    sweep(spark)
 
     def marked(df: DataFrame, column: str):
         """A broadcast bit for each value of a long column, in a filter of fixed size."""
@@ -245,7 +246,8 @@ def ngram_jaccard(
         texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "node long, held binary")
         .join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     )
-    held = durable(held)
+    held = stored(held)
+    sweep(spark)
 
     def fitting(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
@@ -287,6 +289,7 @@ def ngram_jaccard(
     linked = spark.createDataFrame([], "node long, component long")
     for _ in range(rounds):
         linked = grown(verified(durable(best(linked))))
+        sweep(spark)
 
     # Sets with enough head shingles in other components, with their whole sets.
     placed = durable(met.join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("token", "node", "n", "comp"))
@@ -343,6 +346,7 @@ def ngram_jaccard(
     # An overlap is at most the shingles found elsewhere, so a partner is at most this large.
     most = F.floor(F.col("all") * (100 + percent) / percent) - F.col("n")
     counts = durable(counts.groupBy("node", "size").agg(F.sum("c").alias("c")))
+    sweep(spark)
     room = counts.groupBy("node").agg(F.sum("c").alias("all")).join(left, "node").withColumn("most", most)
     last_ones = durable(
         counts.join(room, "node").where("size <= most").groupBy("node").agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("comp").alias("comp"))
