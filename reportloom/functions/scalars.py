@@ -29,8 +29,16 @@ def norm_key(c: Column) -> Column:
     return F.upper(u_trim(F.coalesce(c, F.lit(""))))
 
 
+#: Most cells: digits with at most a leading minus and a fraction, which a cast reads as they are.
+PLAIN = r"^-?[0-9]+(\.[0-9]+)?$"
+
+
 def net_double(c: Column) -> Column:
     """A cell as double, or null: signs before or after, parentheses, thousands commas, exponents."""
+    return F.when(c.rlike(PLAIN), c.try_cast("double")).otherwise(_marked_double(c))
+
+
+def _marked_double(c: Column) -> Column:
     signs = F.length(F.regexp_replace(c, r"[eE][+-]", "e")) - F.length(F.regexp_replace(F.regexp_replace(c, r"[eE][+-]", "e"), r"[+-]", ""))
     body = F.regexp_replace(c, r"[\s,()¤]", "")
     lead = F.regexp_replace(body, r"^[+-]|[+-]$", "")
@@ -57,11 +65,9 @@ def serial_date(d: Column) -> Column:
 def clean_cell(cell: Column, in_date_column: Column) -> Column:
     """Day numbers of date columns as ISO dates, float noise rounded away, anything else as it is."""
     d = net_double(cell)
-    date = in_date_column & (d >= SERIALS[0]) & (d <= SERIALS[1])
-    return (
-        F.when(date, F.date_format(serial_date(d), "yyyy-MM-dd"))
-        .when(d.isNotNull() & F.contains(cell, F.lit(".")), plain_number(d)).otherwise(cell)
-    )
+    rounded = F.when(F.contains(cell, F.lit(".")), F.coalesce(plain_number(d), cell)).otherwise(cell)
+    date = F.when((d >= SERIALS[0]) & (d <= SERIALS[1]), F.date_format(serial_date(d), "yyyy-MM-dd"))
+    return F.when(in_date_column, F.coalesce(date, rounded)).otherwise(rounded)
 
 
 def money(c: Column) -> Column:

@@ -106,12 +106,54 @@ def line_delta(current: DataFrame, previous: DataFrame, order: list[str], by: li
     )
 
 
+#: What the listing shows of a document; its JSON stays unread.
+LISTED = [
+    "id", "original_file_name", "file_size_bytes", "upload_ts", "manufacturer", "period_month", "period_year", "status", "progress_pct", "error_message",
+    "has_warnings", "total_net_sales", "total_commission", "line_count", "customer_count", "custom_instructions", "is_cumulative",
+]
+
+
 def listing(documents: DataFrame) -> DataFrame:
     """Newest first, without the JSON columns, with the month's figures."""
-    return with_monthly(documents).select(
-        "id", "original_file_name", "file_type", "status", "upload_ts", "manufacturer", "period_month", "period_year",
-        "total_net_sales", "total_commission", "line_count", "is_cumulative", "monthly_net_sales", "monthly_commission",
-    ).orderBy(F.desc("upload_ts"), "id")
+    return with_monthly(documents).select(*LISTED, "monthly_net_sales", "monthly_commission").orderBy(F.desc("upload_ts"), "id")
+
+
+def details(documents: DataFrame, raw: DataFrame, canonical: DataFrame, document: str | None = None) -> DataFrame:
+    """Documents with what is held of each, at most one row on either side (both keyed by doc_id); one document if its id is given."""
+    found = documents if document is None else documents.where(F.col("id") == document)
+    for part in (raw, canonical):
+        found = found.join(part, found["id"] == part["doc_id"], "left").drop("doc_id")
+    return found
+
+
+#: How each status is shown.
+STATUS_LABELS = {
+    "Queued": "Queued", "Extracting": "Phase 1 · extracting", "Mapping": "Phase 2 · mapping", "Done": "Complete", "Failed": "Failed · no table detected",
+}
+
+
+def status_label(status: Column) -> Column:
+    """The status as shown; an unknown one as it is."""
+    labels = F.create_map(*(F.lit(x) for pair in STATUS_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(labels, status), status)
+
+
+def monthly_basis(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """Whether a cumulative document's own month can be derived line by line: id, prev_id, basis, warning.
+
+    ``documents`` have their previous document (see :func:`previous_document`), ``lines``
+    (doc_id, n_lines) how many lines are held of each. The basis is the difference to
+    the previous document, the document itself in January, or null with a warning
+    where the previous document is missing or holds no lines.
+    """
+    held = lines.select(F.col("doc_id").alias("prev_id"), "n_lines")
+    n = F.coalesce("n_lines", F.lit(0))
+    basis = F.when(F.col("prev_id").isNull(), F.when(periods.is_first_of_year(F.col("period_month")), "own")).when(n > 0, "difference")
+    period = F.concat_ws("/", "period_month", "period_year")
+    warning = F.when(F.col("prev_id").isNull(), F.concat(F.lit("Year-to-date figures, not those of "), period, F.lit(" alone: the report of the month before is missing."))).otherwise(
+        F.concat(F.lit("No lines are held of the month before ("), F.coalesce("prev_file_name", F.lit("")), F.lit("), so the month can't be derived."))
+    )
+    return documents.where("is_cumulative").join(held, "prev_id", "left").select("id", "prev_id", basis.alias("basis"), F.when(basis.isNull(), warning).alias("warning"))
 
 
 def batch_rollup(listed: DataFrame) -> DataFrame:

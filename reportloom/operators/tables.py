@@ -23,7 +23,7 @@ DATE_HEADER = r"(?iU)(^|\s|_)(DT|DATE|DATES)($|\s|_)|DATE"
 OTHER_PERIOD = r"(?iU)\brange\b|\bprior\b"
 COMBINED = "ALL CUSTOMERS COMBINED"
 HEADER_ROWS, SAME_COLUMN, NUMERIC_SHARE, REPEAT_SHARE = 60, 0.9, 0.5, 0.3
-PREAMBLE_CHARS, CHUNK_ROWS, TEXT_CHARS = 2000, 90, 45_000
+PREAMBLE_CHARS, CHUNK_ROWS, TEXT_CHARS, LEAST_ROWS = 2000, 90, 45_000, 5
 
 BLOCK = ["doc_id", "block_no"]
 
@@ -258,6 +258,25 @@ def split_tables(lines: DataFrame) -> DataFrame:
     return found.join(sizes, ["doc_id", "table_no"]).join(whole, "doc_id").where("n_rows > 0 OR _any = 0").drop("_any")
 
 
+def rows_detected(lines: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """How many rows a document's tables hold: doc_id, detected. Tables of fewer than ``least`` rows are summaries and don't count."""
+    n = F.max("n_rows")
+    per_table = split_tables(lines).groupBy("doc_id", "table_no").agg(n.alias("n"))
+    return per_table.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("n") >= least, F.col("n"))), F.lit(0)).alias("detected"))
+
+
+def separator_blocks(lines: DataFrame) -> DataFrame:
+    """The lines of blocks that hold nothing but separators, as they are: doc_id, block_no, sheet, row_no, kind (verbatim), cells (the line)."""
+    rows = classified(lines).where("is_row")
+    only = rows.groupBy(*BLOCK).agg(F.bool_and("is_separator").alias("_only")).where("_only").select(*BLOCK)
+    return rows.join(only, BLOCK, "left_semi").select(*BLOCK, "sheet", F.col("line_no").alias("row_no"), F.lit("verbatim").alias("kind"), F.array("line").alias("cells"))
+
+
+def half_no(nth: Column, rows: Column, least: int = 4) -> Column:
+    """The half of a chunk that its n-th row (from 1) goes to: 1 or 2; a chunk of fewer than ``least`` rows stays whole."""
+    return F.when((rows >= least) & (nth > F.floor(rows / 2)), 2).otherwise(1)
+
+
 def chunk_no(row_number: Column, rows: int = CHUNK_ROWS) -> Column:
     """The chunk of a table's n-th row, both from 1."""
     return F.floor((row_number - 1) / rows) + 1

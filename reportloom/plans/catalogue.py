@@ -9,7 +9,7 @@ from reportloom.functions import directives, periods
 from reportloom.functions import scalars as sc
 from reportloom.operators import analytics as an
 from reportloom.operators import mapping, tables
-from reportloom.plans.views import DOCUMENTS_SQL, GRIDS_SQL, SALES_SQL, documents, pinned_grids, report_grids, sales, table, year_to_date
+from reportloom.plans.views import DOCUMENTS_SQL, GRIDS_SQL, SALES_SQL, documents, pinned_grids, report_grids, report_lines, sales, table, year_to_date
 from reportloom.sources import envelope
 
 QUERIES: dict = {}
@@ -117,8 +117,7 @@ def previous_period_lookup(spark, d):
     return an.previous_document(documents(spark, d)).select("id", "prev_id", "prev_file_name")
 
 
-@query(f"""{_LISTED} SELECT id, original_file_name, file_type, status, upload_ts, manufacturer, period_month, period_year, total_net_sales, total_commission,
-  line_count, is_cumulative, monthly_net_sales, monthly_commission FROM listed ORDER BY upload_ts DESC, id""")
+@query(f"""{_LISTED} SELECT {', '.join(an.LISTED)}, monthly_net_sales, monthly_commission FROM listed ORDER BY upload_ts DESC, id""")
 def listing(spark, d):
     return an.listing(documents(spark, d))
 
@@ -364,3 +363,65 @@ def status_upsert(spark, d):
     number = F.col("id").cast("long")
     polled = docs.where(number % 4 != 0).withColumn("status", F.when(F.col("status") == "Mapping", "Done").otherwise(F.col("status")))
     return an.upsert_status(docs.where(number % 3 != 0), polled)
+
+
+@query(f"""WITH docs AS ({DOCUMENTS_SQL}), r AS (SELECT l_orderkey::VARCHAR AS id, count(*) AS raw_rows FROM lineitem GROUP BY 1),
+  c AS (SELECT l_orderkey::VARCHAR AS id, sum(l_quantity)::DECIMAL(18,2) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+  SELECT id, status, total_net_sales, raw_rows, quantity FROM docs LEFT JOIN r USING (id) LEFT JOIN c USING (id)""")
+def document_details(spark, d):
+    """Each document with what is held of it; a document without raw or canonical rows stays."""
+    items = table(spark, d, "lineitem").withColumn("doc_id", F.col("l_orderkey").cast("string"))
+    raw = items.groupBy("doc_id").agg(F.count("*").alias("raw_rows"))
+    canonical = items.where("l_returnflag = 'R'").groupBy("doc_id").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast(sc.CENTS).alias("quantity"))
+    return an.details(documents(spark, d), raw, canonical).select("id", "status", "total_net_sales", "raw_rows", "quantity")
+
+
+@query(f"""WITH docs AS ({DOCUMENTS_SQL}) SELECT status, CASE status WHEN 'Extracting' THEN 'Phase 1 · extracting' WHEN 'Mapping' THEN 'Phase 2 · mapping'
+  WHEN 'Done' THEN 'Complete' WHEN 'Failed' THEN 'Failed · no table detected' ELSE status END AS label, count(*) AS n FROM docs GROUP BY ALL""")
+def status_labels(spark, d):
+    return documents(spark, d).groupBy("status", an.status_label(F.col("status")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN count(l_orderkey) >= 5 THEN count(l_orderkey) ELSE 0 END AS detected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def rows_detected(spark, d):
+    return tables.rows_detected(report_lines(spark, d))
+
+
+@query(f"""WITH docs AS ({DOCUMENTS_SQL}), done AS (SELECT * FROM docs WHERE is_cumulative AND status = 'Done'
+  QUALIFY row_number() OVER (PARTITION BY manufacturer, period_year, period_month ORDER BY upload_ts DESC, id) = 1),
+  n AS (SELECT l_orderkey::VARCHAR AS id, count(*) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+  j AS (SELECT d.id, l.id AS prev_id, l.original_file_name AS prev_file, d.period_month, d.period_year, coalesce(n_lines, 0) AS n_lines
+    FROM docs d LEFT JOIN done l ON d.manufacturer = l.manufacturer AND {_BEFORE} LEFT JOIN n ON n.id = l.id WHERE d.is_cumulative),
+  b AS (SELECT *, CASE WHEN prev_id IS NULL THEN CASE WHEN period_month = '01' THEN 'own' END WHEN n_lines > 0 THEN 'difference' END AS basis FROM j)
+  SELECT id, prev_id, basis, CASE WHEN basis IS NULL THEN CASE WHEN prev_id IS NULL
+    THEN 'Year-to-date figures, not those of ' || period_month || '/' || period_year || ' alone: the report of the month before is missing.'
+    ELSE 'No lines are held of the month before (' || prev_file || '), so the month can''t be derived.' END END AS warning FROM b""")
+def monthly_basis(spark, d):
+    n = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.count("*").alias("n_lines"))
+    return an.monthly_basis(an.previous_document(documents(spark, d)), n)
+
+
+@query(f"""WITH c AS (SELECT *, (nth - 1) // 90 + 1 AS chunk_no, (nth - 1) % 90 + 1 AS place FROM (SELECT *, {_NTH} AS nth FROM lineitem)),
+  s AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey, chunk_no) AS n FROM c)
+  SELECT l_suppkey, chunk_no::BIGINT AS chunk_no, (CASE WHEN n >= 4 AND place > n // 2 THEN 2 ELSE 1 END)::INT AS half_no, count(*) AS n_rows, sum(l_quantity)::DECIMAL(18,2) AS quantity FROM s GROUP BY ALL""")
+def chunk_halves(spark, d):
+    """Chunks that have to be tried again, in halves; the halves keep their chunk's number and order."""
+    c = _numbered(spark, d).withColumn("chunk_no", tables.chunk_no(F.col("nth"))).withColumn("place", (F.col("nth") - 1) % 90 + 1)
+    sizes = c.groupBy("l_suppkey", "chunk_no").agg(F.count("*").alias("n"))
+    halves = c.join(sizes, ["l_suppkey", "chunk_no"]).withColumn("half_no", tables.half_no(F.col("place"), F.col("n")))
+    return halves.groupBy("l_suppkey", "chunk_no", "half_no").agg(F.count("*").alias("n_rows"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast(sc.CENTS).alias("quantity"))
+
+
+@query(f"""WITH c AS (SELECT *, ((nth - 1) // 90 + 1)::BIGINT AS chunk_no, l_orderkey % 501 = 0 AS bad FROM (SELECT *, {_NTH} AS nth FROM lineitem)),
+  k AS (SELECT l_suppkey, chunk_no, count_if(bad) AS n_bad, sum(l_quantity)::DECIMAL(18,2) AS quantity FROM c GROUP BY ALL)
+  SELECT l_suppkey, chunk_no, CASE WHEN n_bad = 0 THEN quantity END AS quantity,
+    CASE WHEN n_bad > 0 THEN 'Chunk ' || chunk_no || ' of ' || l_suppkey || ' gave no rows: ' || n_bad || ' could not be read.' END AS warning FROM k""")
+def failing_chunks(spark, d):
+    """Unreadable quantities cost their chunk alone, with a warning."""
+    text = F.when(F.col("l_orderkey") % 501 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    c = _numbered(spark, d).withColumn("chunk_no", tables.chunk_no(F.col("nth"))).withColumn("number", sc.net_double(text).cast("decimal(18,2)"))
+    by = ["l_suppkey", "chunk_no"]
+    name = F.concat(F.lit("Chunk "), F.col("chunk_no").cast("string"), F.lit(" of "), F.col("l_suppkey").cast("string"))
+    kept, warnings = mapping.tolerated(c, F.col("number").isNull(), by, name)
+    sums = kept.groupBy(*by).agg(F.sum("number").cast(sc.CENTS).alias("quantity"))
+    return sums.join(warnings, by, "full_outer")

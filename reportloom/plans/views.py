@@ -49,6 +49,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "Done").when(F.col("o_orderstatus") == "O", F.element_at(F.array(F.lit("Queued"), F.lit("Extracting"), F.lit("Mapping")), (k % 3 + 1).cast("int"))).otherwise("Failed").alias("status"),
         (k % 10 * 10).cast("double").alias("progress_pct"), F.when(k % 13 == 0, "sheet unreadable").alias("error_message"), (k % 5 == 0).alias("has_warnings"),
         F.when(k % 7 != 0, total).alias("total_net_sales"), F.when(k % 7 != 0, F.bround(total * F.lit("0.05").cast("decimal(4,2)"), 2).cast(CENTS)).alias("total_commission"),
+        (k * 37 % 100_000).alias("file_size_bytes"), F.when(k % 11 != 0, F.col("o_custkey") % 20).cast("long").alias("customer_count"),
         F.when(k % 11 != 0, F.col("o_custkey") % 50).cast("long").alias("line_count"), (k % 2 == 0).alias("is_cumulative"), F.col("o_orderpriority").alias("manufacturer"),
         F.date_format("o_orderdate", "MM").alias("period_month"), F.date_format("o_orderdate", "yyyy").alias("period_year"),
         F.when(k % 4 == 0, "only rows with a comment").alias("custom_instructions"),
@@ -62,6 +63,7 @@ DOCUMENTS_SQL = """
     (o_orderkey % 10 * 10)::DOUBLE AS progress_pct, CASE WHEN o_orderkey % 13 = 0 THEN 'sheet unreadable' END AS error_message, o_orderkey % 5 = 0 AS has_warnings,
     CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DECIMAL(18,2) END AS total_net_sales,
     CASE WHEN o_orderkey % 7 <> 0 THEN round_even((o_totalprice::DECIMAL(18,2) * 0.05::DECIMAL(4,2))::DECIMAL(20,4), 2)::DECIMAL(18,2) END AS total_commission,
+    o_orderkey * 37 % 100000 AS file_size_bytes, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 20 END AS customer_count,
     CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 50 END AS line_count, o_orderkey % 2 = 0 AS is_cumulative, o_orderpriority AS manufacturer,
     strftime(o_orderdate, '%m') AS period_month, strftime(o_orderdate, '%Y') AS period_year,
     CASE WHEN o_orderkey % 4 = 0 THEN 'only rows with a comment' END AS custom_instructions FROM orders"""
@@ -134,3 +136,14 @@ def pinned_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.array(*map(F.lit, ("ITEM NO", "DESCRIPTION", "NET PRIOR YEAR", "NET CURRENT", "RANGE OF SALES")))
     rows = data.unionByName(p.select("p_brand").distinct().select(doc, F.lit(0).cast("long").alias("row_no"), heads.alias("cells")))
     return rows.select("doc_id", F.lit(1).alias("block_no"), F.when(_odd("doc_id"), "Summary").otherwise("Detail").alias("sheet"), "row_no", "cells")
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as text for each order, one line of it for each of its line items: doc_id, line_no, line."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 1).cast("int").alias("line_no"),
+        F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("string"), F.lit(" |")).alias("line"),
+    )
+    head = F.explode(F.array(F.struct(F.lit(0).alias("line_no"), F.lit("| ITEM | QTY |").alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit("|---|---|").alias("line"))))
+    heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), head.alias("h")).select("doc_id", "h.*")
+    return items.unionByName(heads)

@@ -154,3 +154,31 @@ def test_queue_runs_once_and_again(spark, tmp_path):
     pipeline.start(spark, str(source), target, str(tmp_path / "cp")).awaitTermination(120)
     sales = spark.read.parquet(f"{target}/sales")
     assert sorted((r.doc_id, r.customer_name, r.net_sales) for r in sales.collect()) == [("d1", "Acme", 2.5), ("d2", "Acme", 2.5)]
+
+
+def test_separator_blocks_and_small_tables(spark):
+    text = "|---|---|\n\n| a | b |\n|---|---|\n" + "\n".join(f"| {k} | x |" for k in range(5)) + "\n\ntext\n\n| c | d |\n|---|---|\n| 1 | 2 |"
+    lines = tables.text_lines(spark.createDataFrame([("d", text), ("e", "|--|--|\n|:-|-:|")], "doc_id string, text string"))
+    got = sorted((r.doc_id, r.row_no, r.kind, r.cells[0]) for r in tables.separator_blocks(lines).collect())
+    assert got == [("d", 0, "verbatim", "|---|---|"), ("e", 0, "verbatim", "|--|--|"), ("e", 1, "verbatim", "|:-|-:|")]
+    assert {(r.doc_id, r.detected) for r in tables.rows_detected(lines).collect()} >= {("d", 5)}
+
+
+def test_point_lookup(spark):
+    docs = spark.createDataFrame([("a", 1), ("b", 2)], "id string, x int")
+    raw = spark.createDataFrame([("a", "r")], "doc_id string, raw_json string")
+    none = spark.createDataFrame([], "doc_id string, analytics_json string")
+    assert [tuple(r) for r in an.details(docs, raw, none, "a").collect()] == [("a", 1, "r", None)]
+    assert an.details(docs, raw, none, "zz").isEmpty() and an.details(docs, raw, none).count() == 2
+
+
+def test_configuration_problems():
+    from reportloom import session
+
+    assert session.problems({"a": "x", "b": " ", "c": "<key>", "f": "rel/ative", "g": "s3://b/x"}, ("a", "b", "c", "d"), ("f", "g")) == [
+        "b is missing or still a placeholder.", "c is missing or still a placeholder.", "d is missing or still a placeholder.",
+        "f is neither an absolute path nor a URI: rel/ative",
+    ]
+    with pytest.raises(ValueError, match="1 problem"):
+        session.validate({}, ("a",))
+    session.validate({"a": "1"}, ("a",))
