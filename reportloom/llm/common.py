@@ -7,11 +7,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Bits of the filter that spares rows which a join would drop; a full filter drops nothing.
+FILTER_BITS = 1 << 24
 #: Words of a text as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,7 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -48,11 +53,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`durable`, as a compressed Parquet table, for wide rows whose columns are read apart."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like :func:`durable`, as a compressed Parquet table, for wide rows whose columns are read apart; and its place."""
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(place)
-    return df.sparkSession.read.parquet(place)
+    return df.sparkSession.read.parquet(place), place
+
+
+def discard(spark: SparkSession, *places: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -65,6 +77,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def perhaps(column: Column, wanted: DataFrame) -> Column:
+    """Whether a long may be among those of the one column of ``wanted``: no false negatives, few false positives."""
+    place = lambda c: F.pmod(c, F.lit(FILTER_BITS))
+    word = lambda c: F.shiftright(place(c), 6).cast("int")
+    bit = lambda c: (place(c) % 64).cast("int")
+    one = F.col(wanted.columns[0])
+    set_words = wanted.groupBy(word(one).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(one))).alias("bits"))
+    blank = wanted.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
+    words = set_words.unionByName(blank).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    marks = durable(words.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).getField("bits").alias("marks")))
+    return F.call_function("shiftright", F.get(marks.scalar(), word(column)), bit(column)).bitwiseAND(F.lit(1)) == 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src, dst long): node, component (smallest node).
 

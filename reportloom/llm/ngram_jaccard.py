@@ -27,12 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import components, durable, partitions, ship, stored, sweep, table
+from reportloom.llm.common import FILTER_BITS, components, discard, durable, partitions, ship, stored, sweep, table
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the filter that spares most texts which hold no wanted set a second parse; a
-#: full filter costs time and drops nothing.
-FILTER_BITS = 1 << 24
 #: Shingles of one fragment, about; their number follows the input.
 FRAGMENT = 1_000_000
 #: A head is longer than needed by this part of its set, so that linked sets share as many more.
@@ -246,7 +243,7 @@ def ngram_jaccard(
         texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "node long, held binary")
         .join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     )
-    held = stored(held)
+    held, held_at = stored(held)
     sweep(spark)
 
     def fitting(a: str, b: str) -> str:
@@ -418,6 +415,8 @@ def ngram_jaccard(
         return pa.table({"a": pa.array([a for a, _ in needed], pa.int64()), "b": pa.array([b for _, b in needed], pa.int64())})
 
     linked = grown(stocked.groupBy("p", "q").applyInArrow(compare, "a long, b long"))
+    discard(spark, held_at)
+    sweep(spark)
 
     placed = described.join(linked, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("comp"))
     per_set = placed.where("comp IS NOT NULL AND id IS NOT NULL").groupBy("comp").agg(F.min("id").alias("low"))

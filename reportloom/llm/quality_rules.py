@@ -45,7 +45,8 @@ def longest_repeats(text_of: np.ndarray, word: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     differs = np.r_[True, key[order][1:] != key[order][:-1]]
     rank[order] = np.maximum.accumulate(np.where(differs, place, 0))
-    levels, h = [rank.copy()], 1
+    small = np.int32 if n < 1 << 31 else np.int64  # a level is kept for each doubling
+    levels, h = [rank.astype(small)], 1
     suffix = order.copy()  # the suffix array; groups that are still open get re-sorted in place
     while True:
         sorted_rank = rank[suffix]
@@ -62,7 +63,7 @@ def longest_repeats(text_of: np.ndarray, word: np.ndarray) -> np.ndarray:
         suffix[slots] = live
         differs = np.r_[True, pair[1:] != pair[:-1]]
         rank[live] = np.maximum.accumulate(np.where(differs, slots, 0))
-        levels.append(rank.copy())
+        levels.append(rank.astype(small))
         h *= 2
     a, b = suffix[:-1], suffix[1:]
     shared = np.zeros(n - 1, dtype=np.int64)

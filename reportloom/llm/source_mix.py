@@ -115,7 +115,7 @@ def source_mix(
     """One row per document: doc_id, sources, size, copies, taken, source_sizes, source_targets.
 
     ``sources`` is an array column of the sources a document belongs to, by
-    default its own ``source`` alone. Sizes are words of the whole text (null: 0).
+    default its own ``source`` alone; a document of none (null or empty) is not taken. Sizes are words of the whole text (null: 0).
     Documents are taken whole, ``copies`` times at most. The remainder of a
     pattern is filled in the order of a seeded digest; then, ``fills`` times, the
     document that comes nearest to the gap left is added if it narrows the gap.
@@ -130,6 +130,7 @@ def source_mix(
     """
     spark = docs.sparkSession
     sources = F.array("source") if sources is None else sources
+    sources = F.coalesce(sources, F.array().cast(docs.select(sources).schema[0].dataType))
     rows = durable(
         docs.select(
             "doc_id",

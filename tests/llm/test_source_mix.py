@@ -82,5 +82,11 @@ def test_overlapping_sources_and_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, both array<string>")
     got = sm.source_mix(docs, F.col("both"), share=1.0).collect()
     assert len(got) == 60 and max(r.copies for r in got) <= 2
+    # Sizes 600 and 200, weights 5 and 2: quotas of 571 and 229 words, all of the second's from the documents of both.
+    assert got[0].source_sizes[0] == 600 and abs(sum(r.taken for r in got) - 800) <= 20
+    assert 219 <= sum(r.taken for r in got if len(r.sources) == 2) <= 400
+    odd = docs.unionByName(spark.createDataFrame([(100, "w w", None), (101, None, None), (102, "w " * 50_000, []), (103, "w", [None])], docs.schema))
+    more = {r.doc_id: r for r in sm.source_mix(odd, F.col("both"), share=1.0).collect()}
+    assert len(more) == 64 and [more[k].taken for k in (100, 101, 102)] == [0, 0, 0] and more[102].size == 50_000
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert sm.source_mix(empty).count() == 0
