@@ -7,6 +7,7 @@ import re
 import zipfile
 from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import batched
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -39,8 +40,8 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def read_workbook(content: bytes, wanted: set[str] | None = None):
-    """Yields (sheet number, name, row number, cells); unwanted sheets are not parsed."""
+def read_workbook(content: bytes, wanted: set[str] | None = None, skipped: list[str] | None = None):
+    """Yields (sheet number, name, row number, cells); unwanted sheets are not parsed, their names go to ``skipped``."""
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
     xml = lambda name: ElementTree.fromstring(book.read(name))
@@ -78,6 +79,8 @@ def read_workbook(content: bytes, wanted: set[str] | None = None):
     for s in xml("xl/workbook.xml").iter(f"{_MAIN}sheet"):
         name = (s.get("name") or "").strip() or f"Sheet{emitted + 1}"
         if wanted is not None and name.lower() not in wanted:
+            if skipped is not None:
+                skipped.append(name)
             continue
         target = targets[s.get(f"{_REL}id")].lstrip("/")
         rows = []
@@ -117,15 +120,17 @@ def read(spark: SparkSession, path: str, sheets: list[str] | None = None) -> Dat
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 if name.lower().endswith(".xls"):
                     raise ValueError(f"{name}: the legacy binary workbook format is not supported")
-                rows = list(read_workbook(content.as_py(), wanted))
-                if not rows:
-                    raise ValueError(f"{name}: no filled row" + (f" in the sheets {sorted(wanted)}" if wanted is not None else ""))
-                for a in range(0, len(rows), 10_000):
-                    no, sheet, row, cells = zip(*rows[a : a + 10_000], strict=True)
+                skipped, found = [], False
+                for part in batched(read_workbook(content.as_py(), wanted, skipped), 10_000):
+                    found = True
+                    no, sheet, row, cells = zip(*part, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(no)), pa.array(no, pa.int32()), pa.array(sheet), pa.array(row, pa.int64()), pa.array(cells, kind)],
                         ["path", "sheet_no", "sheet", "row_no", "cells"],
                     )
+                if not found:
+                    asked = f" in the sheets {sorted(wanted)}; other sheets: {', '.join(skipped) or 'none'}" if wanted is not None else ""
+                    raise ValueError(f"{name}: no filled row{asked}")
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.xlsx?$") & (F.col("length") > 0))
     return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -129,7 +129,7 @@ def test_workbook_reader(spark, tmp_path):
     got = [(r.sheet, r.cells) for r in xlsx.read(spark, str(tmp_path)).orderBy("row_no").collect()]
     assert got == [("Sales", ["NAME", "", "D", ""]), ("Sales", ["ab c", "2026-01-28 12:00", "0.3", "TRUE"])]
     assert xlsx.read(spark, str(tmp_path), [" sales "]).count() == 2
-    with pytest.raises(Exception, match="no filled row"):
+    with pytest.raises(Exception, match="no filled row in the sheets .*other sheets: .*Sales"):
         xlsx.read(spark, str(tmp_path), ["other"]).collect()
 
 
