@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from reportloom.llm.common import durable, ship, table
 
 #: Entries of a worker's memo of chunk encodings; a full memo is emptied and refilled.
-MEMO = 500_000
+MEMO = 200_000
 #: The first character beyond the Latin blocks whose letter classes are settled.
 LATIN_END = "\u0250"
 #: A space that does not stand alone between two other characters.
