@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, license_scan, line_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, ngram_jaccard, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_jaccard.query,
     "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
+    "op12_exact_dedup": exact_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op4_source_mix": source_mix.SQL,
     "op5_license_scan": license_scan.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
 }
