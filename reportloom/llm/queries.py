@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, ngram_jaccard, periodic_runs, quality_rules, source_mix, token_counts, toxicity
+from reportloom.llm import best_fit_packing, chat_format, embedding_dedup, embedding_whitening, exact_dedup, license_scan, line_dedup, ngram_jaccard, periodic_runs, quality_rules, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_jaccard.query,
     "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
+    "op11_embedding_whitening": embedding_whitening.query,
     "op12_exact_dedup": exact_dedup.query,
     "op13_periodic_runs": periodic_runs.query,
 }
