@@ -135,7 +135,8 @@ def exact_dedup(
     shared = facts.groupBy(*FINGERPRINT).agg(F.count("*").alias("n"), F.min("uid").alias("class")).where("n > 1")
     shared = durable(shared.select(*FINGERPRINT, "class"))
     again = facts.join(shared, FINGERPRINT).select("uid", "class")
-    members = chunks.where(perhaps(F.col("uid"), again.select("uid"))).select("uid", "part", "chunk").join(again, "uid")
+    hit = perhaps(F.xxhash64("uid"), again.select(F.xxhash64("uid").alias("h")))
+    members = chunks.where(hit).select("uid", "part", "chunk").join(again, "uid")
     compared = members.groupBy("class", "part").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     unlike = durable(compared.where("least <> most").select("class").distinct())
     classes = facts.join(shared, FINGERPRINT, "left").withColumn("class", F.coalesce("class", "uid"))
