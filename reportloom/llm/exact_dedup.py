@@ -153,7 +153,7 @@ def exact_dedup(
     discard(spark, place)
     sweep(spark)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))
-    groups = classes.groupBy("class").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = durable(classes.groupBy("class").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1"))
     found = classes.join(groups, "class", "left")
     alone = F.col("group_size").isNull()
     return found.select(
