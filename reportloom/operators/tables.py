@@ -233,38 +233,6 @@ def to_markdown(normalized: DataFrame) -> DataFrame:
     return kept.groupBy(*BLOCK).agg(F.array_join(rows, "\n").alias("markdown"))
 
 
-def split_tables(lines: DataFrame) -> DataFrame:
-    """Rows of header-and-separator tables: doc_id, table_no, row_no, kind (header, row, preamble), line.
-
-    A table opens at a row that a separator follows, goes on over one blank line,
-    and ends at other text or a second separator; what stands between tables is
-    the next one's preamble.
-    """
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    c = classified(lines).withColumn("_next_sep", F.coalesce(F.lead("is_separator").over(order), F.lit(False)))
-    opens = F.col("is_row") & ~F.col("is_separator") & F.col("_next_sep")
-    blank = u_trim(F.col("line")) == ""
-    c = c.withColumn("_open", opens).withColumn("_no", F.sum(opens.cast("int")).over(order))
-    c = c.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "_no").orderBy("line_no")))
-    lag_blank = F.coalesce(F.lag(blank).over(Window.partitionBy("doc_id", "_no").orderBy("line_no")), F.lit(False))
-    breaks = (F.col("_no") == 0) | ((F.col("_at") > 2) & ((~F.col("is_row") & ~blank) | F.col("is_separator") | (blank & lag_blank)))
-    broken = F.max(breaks.cast("int")).over(Window.partitionBy("doc_id", "_no").orderBy("line_no")) == 1
-    kind = F.when(F.col("_open"), "header").when((F.col("_at") == 2) & (F.col("_no") > 0), "separator").when(blank & ~broken, "blank")
-    c = c.withColumn("kind", kind.when(broken, "preamble").otherwise("row"))
-    table = F.when(F.col("kind") == "preamble", F.col("_no") + 1).otherwise(F.col("_no"))
-    found = c.where("kind NOT IN ('separator', 'blank')").select("doc_id", table.alias("table_no"), F.col("line_no").alias("row_no"), "kind", "line")
-    sizes = found.groupBy("doc_id", "table_no").agg(F.count_if(F.col("kind") == "row").alias("n_rows"))
-    whole = found.groupBy("doc_id").agg(F.count_if(F.col("kind") == "row").alias("_any"))
-    return found.join(sizes, ["doc_id", "table_no"]).join(whole, "doc_id").where("n_rows > 0 OR _any = 0").drop("_any")
-
-
-def rows_detected(lines: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """How many rows a document's tables hold: doc_id, detected. Tables of fewer than ``least`` rows are summaries and don't count."""
-    n = F.max("n_rows")
-    per_table = split_tables(lines).groupBy("doc_id", "table_no").agg(n.alias("n"))
-    return per_table.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("n") >= least, F.col("n"))), F.lit(0)).alias("detected"))
-
-
 def separator_blocks(lines: DataFrame) -> DataFrame:
     """The lines of blocks that hold nothing but separators, as they are: doc_id, block_no, sheet, row_no, kind (verbatim), cells (the line)."""
     rows = classified(lines).where("is_row")

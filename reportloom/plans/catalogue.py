@@ -8,23 +8,11 @@ from pyspark.sql import functions as F
 from reportloom.functions import directives, periods
 from reportloom.functions import scalars as sc
 from reportloom.operators import analytics as an
-from reportloom.operators import mapping, tables
+from reportloom.operators import mapping, splitting, tables
+from reportloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from reportloom.plans.views import DOCUMENTS_SQL, GRIDS_SQL, SALES_SQL, documents, pinned_grids, report_grids, report_lines, sales, table, year_to_date
 from reportloom.sources import envelope
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query(SALES_SQL)
 def canonical_sales(spark: SparkSession, d: str) -> DataFrame:
@@ -384,7 +372,7 @@ def status_labels(spark, d):
 
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN count(l_orderkey) >= 5 THEN count(l_orderkey) ELSE 0 END AS detected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def rows_detected(spark, d):
-    return tables.rows_detected(report_lines(spark, d))
+    return splitting.rows_detected(report_lines(spark, d))
 
 
 @query(f"""WITH docs AS ({DOCUMENTS_SQL}), done AS (SELECT * FROM docs WHERE is_cumulative AND status = 'Done'
@@ -425,3 +413,6 @@ def failing_chunks(spark, d):
     kept, warnings = mapping.tolerated(c, F.col("number").isNull(), by, name)
     sums = kept.groupBy(*by).agg(F.sum("number").cast(sc.CENTS).alias("quantity"))
     return sums.join(warnings, by, "full_outer")
+
+
+from reportloom.plans import text_queries  # noqa: E402, F401  (registers its own)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reportloom.functions import directives, periods
 from reportloom.functions import scalars as sc
 from reportloom.operators import analytics as an
-from reportloom.operators import tables
+from reportloom.operators import splitting, tables
 from reportloom.sources import envelope, xlsx
 from reportloom.streaming import pipeline
 
@@ -103,8 +103,8 @@ def test_lines_blocks_and_table_split(spark):
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
     grid = [(r.block_no, r.sheet, r.cells) for r in tables.grid(tables.text_lines(docs)).orderBy("row_no").collect()]
     assert grid == [(1, "S1", ["a", "b"]), (1, "S1", ["1", "2"]), (2, "S1", ["3", "4"]), (3, "S2", ["c", "d"]), (3, "S2", ["5", "6"])]
-    split = [(r.table_no, r.kind) for r in tables.split_tables(tables.text_lines(docs)).orderBy("row_no").collect()]
-    assert [s for s in split if s[1] != "preamble"] == [(1, "header"), (1, "row"), (1, "row"), (2, "header"), (2, "row")]
+    split = [(r.table_no, r.kind) for r in splitting.split_tables(tables.text_lines(docs)).orderBy("row_no").collect()]
+    assert [s for s in split if s[1] in ("header", "row")] == [(1, "header"), (1, "row"), (1, "row"), (2, "header"), (2, "row")]
 
 
 def test_paragraphs_pack_greedily(spark):
@@ -161,7 +161,7 @@ def test_separator_blocks_and_small_tables(spark):
     lines = tables.text_lines(spark.createDataFrame([("d", text), ("e", "|--|--|\n|:-|-:|")], "doc_id string, text string"))
     got = sorted((r.doc_id, r.row_no, r.kind, r.cells[0]) for r in tables.separator_blocks(lines).collect())
     assert got == [("d", 0, "verbatim", "|---|---|"), ("e", 0, "verbatim", "|--|--|"), ("e", 1, "verbatim", "|:-|-:|")]
-    assert {(r.doc_id, r.detected) for r in tables.rows_detected(lines).collect()} >= {("d", 5)}
+    assert {(r.doc_id, r.detected) for r in splitting.rows_detected(lines).collect()} >= {("d", 5)}
 
 
 def test_point_lookup(spark):
