@@ -74,38 +74,71 @@ def previous_document(documents: DataFrame) -> DataFrame:
     return with_previous(documents, done).where("prev_id IS NULL OR prev_id <> id")
 
 
-def _by_line(sales: DataFrame, order: list[str], by: list[str], name: str) -> DataFrame:
-    keys = [norm_key(F.col(c)).alias(f"_k{k}") for k, c in enumerate(LINE_KEY)]
-    template = F.struct(*LINE_KEY)
-    return sales.select(*by, *keys, "net_sales", "commission", template.alias("_row"), F.struct(*order).alias("_at")).groupBy(
-        *by, *(f"_k{k}" for k in range(len(LINE_KEY)))
-    ).agg(
-        F.sum(money(F.col("net_sales"))).alias(f"{name}_net"),
-        F.sum(money(F.col("commission"))).alias(f"{name}_comm"),
-        F.min_by("_row", "_at").alias(f"{name}_row"),
-    )
+def keyed(sales: DataFrame) -> DataFrame:
+    """Adds what identifies a line across periods, however it is spelt: _k0 .. _k6."""
+    return sales.select("*", *(norm_key(F.col(c)).alias(f"_k{k}") for k, c in enumerate(LINE_KEY)))
 
 
-def line_delta(current: DataFrame, previous: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Month rows as the difference of two year-to-date line sets.
+#: What a derived month line takes from a line that is held.
+TEMPLATE = ["source_name", "manufacturer", *LINE_KEY]
+_KEY = [f"_k{k}" for k in range(len(LINE_KEY))]
+
 
-    Both sides are aggregated before the full outer join, so the join meets each
-    key once. Lines in one set alone count against zero; lines that moved in
-    neither figure are left out before rounding. The row's text comes from the
-    current set's first line of the key, else from the previous set's.
+def line_deltas(lines: DataFrame, order: list[str], by: list[str], since: Column, until: Column, reports: DataFrame | None = None) -> DataFrame:
+    """Month rows of year-to-date reports, each against the report of the month before.
+
+    ``lines`` are report lines, ``by`` what one year's reports have in common, year included
+    (a column ``year``). A line stands in the reports of the months ``since`` to ``until`` (1
+    to 12; the same month where each report brings its own lines). ``reports`` (by, month)
+    says which reports there are, else all twelve. January's report is its own month; a
+    report without one the month before gives no rows.
+
+    A line's figures are summed under its key, however spelt; lines that moved in neither
+    figure are left out before rounding. A line that vanished counts as what it takes back. The row's
+    text is that of the first line (by ``order``) in the month's own report, else in the one
+    before. Quantities don't accumulate, so there are none; the date is the month's first day.
+
+    Lines are summed before anything is compared, and all months of a key are compared in
+    its one row: its parts differ in their months alone, so there are 78 at most.
     """
-    by = by or []
-    keys = [*by, *(f"_k{k}" for k in range(len(LINE_KEY)))]
-    joined = _by_line(current, order, by, "cur").join(_by_line(previous, order, by, "prev"), keys, "full_outer")
+    row = F.struct(*(F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in TEMPLATE))
+    parts = keyed(lines.withColumn("_row", row).withColumn("_from", since.cast("int")).withColumn("_to", until.cast("int"))).groupBy(
+        *by, *_KEY, "_from", "_to"
+    ).agg(
+        F.sum(money(F.col("net_sales"))).alias("net"), F.sum(money(F.col("commission"))).alias("comm"),
+        F.min(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col("_row").alias("row"))).alias("first"),
+    )
+    lists = parts.groupBy(*by, *_KEY).agg(F.collect_list(F.struct("_from", "_to", "net", "comm", "first")).alias("parts"))
+    # Only where a part begins, or the month after it ends, can a figure move.
+    edges = F.array_distinct(F.concat(F.transform("parts", lambda p: p["_from"]), F.filter(F.transform("parts", lambda p: p["_to"] + 1), lambda m: m <= 12)))
+    moved = lists.withColumn("month", F.explode(edges))
+    if reports is not None:
+        held = reports.groupBy(*by).agg(F.collect_set(F.col("month").cast("int")).alias("_held"))
+        moved = moved.join(held, by).where(F.array_contains("_held", F.col("month")) & ((F.col("month") == 1) | F.array_contains("_held", F.col("month") - 1)))
+    within = lambda month: F.filter("parts", lambda p: (p["_from"] <= month) & (month <= p["_to"]))
     zero = F.lit(0).cast(MONEY)
-    diff = lambda f: F.coalesce(f"cur_{f}", zero) - F.coalesce(f"prev_{f}", zero)
-    return (
-        joined.withColumn("_net", diff("net")).withColumn("_comm", diff("comm")).where("_net <> 0 OR _comm <> 0")
-        .withColumn("_row", F.coalesce("cur_row", "prev_row"))
-        .select(*by, "_row.*", two_decimals(F.col("_net")).alias("net_sales"), two_decimals(F.col("_comm")).alias("commission"))
+    added = lambda ps, f: F.aggregate(ps, zero, lambda acc, p: (acc + p[f]).cast(MONEY))
+    first = lambda ps: F.array_min(F.transform(ps, lambda p: p["first"]))["row"]
+    moved = moved.withColumn("_now", within(F.col("month"))).withColumn("_before", within(F.col("month") - 1))
+    diff = lambda f: added("_now", f) - added("_before", f)
+    moved = moved.withColumn("_net", diff("net")).withColumn("_comm", diff("comm")).where("_net <> 0 OR _comm <> 0")
+    text = [c for c in TEMPLATE if c not in by]
+    return moved.withColumn("_row", F.coalesce(first(F.col("_now")), first(F.col("_before")))).select(
+        *by, "month", F.make_date("year", "month", F.lit(1)).alias("date"), *(F.col(f"_row.{c}").alias(c) for c in text),
+        F.lit(None).cast("decimal(38,10)").alias("quantity"), two_decimals(F.col("_net")).alias("net_sales"), two_decimals(F.col("_comm")).alias("commission"),
     )
 
 
+def line_delta(current: DataFrame, previous: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """The month rows of one year-to-date line set against the one before it (see :func:`line_deltas`)."""
+    by = by or []
+    columns = [c for c in [*by, *TEMPLATE, *order, "net_sales", "commission"] if c in current.columns]
+    pick = lambda rows, month: rows.select(*dict.fromkeys(columns), F.lit(2000).alias("year"), F.lit(month).alias("_m"))
+    both = pick(previous, 1).unionByName(pick(current, 2))
+    found = line_deltas(both, order, [*by, "year"], F.col("_m"), F.col("_m")).where("month = 2")
+    return found.select(*by, *(c for c in TEMPLATE if c in current.columns and c not in by), "net_sales", "commission")
+
+
 #: What the listing shows of a document; its JSON stays unread.
 LISTED = [
     "id", "original_file_name", "file_size_bytes", "upload_ts", "manufacturer", "period_month", "period_year", "status", "progress_pct", "error_message",

@@ -48,41 +48,75 @@ def monthly_from_ytd(spark, d):
     )
 
 
-def _line_sets(spark, d):
-    """The lines of each month's year-to-date report, and of the report before it."""
-    s = sales(spark, d).withColumn("y", F.year("date")).withColumn("_m", F.month("date"))
-    since = lambda rows, first: rows.withColumn("m", F.explode(F.sequence(first, F.lit(12)))).drop("_m")
-    return since(s, F.col("_m")), since(s.where("_m < 12"), F.col("_m") + 1)
-
-
-_ORDER = ["customer_id", "part_no", "date", "net_sales", "commission", "quantity"]
-_BY = ["manufacturer", "y", "m"]
-_KEYS = "manufacturer, y, m, customer_id, customer_name, city, state, product_family, part_no, part_description"
-_DELTA = f"""WITH s AS ({SALES_SQL}), t AS (SELECT *, year(date)::INT AS y, unnest(range(month(date), 13))::INT AS m FROM s),
-  q AS (SELECT * REPLACE (m + 1 AS m) FROM t WHERE m < 12),
-  c AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM t GROUP BY ALL), p AS (SELECT {_KEYS}, sum(net_sales) AS n, sum(commission) AS k FROM q GROUP BY ALL),
-  x AS (SELECT {_KEYS}, (coalesce(c.n, 0) - coalesce(p.n, 0))::DECIMAL(18,2) AS net_sales, (coalesce(c.k, 0) - coalesce(p.k, 0))::DECIMAL(18,2) AS commission
-        FROM c FULL JOIN p USING ({_KEYS})), delta AS (SELECT * FROM x WHERE net_sales <> 0 OR commission <> 0)"""
+def ytd_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of year-to-date reports with the months in whose reports they stand (_from, _to).
+
+    A line comes with its sale and stays to December, but every seventh part's lines are
+    gone after the next report. Every other supplier's lines are spelt in their own way. Of
+    every 25th manufacturer the report of May is missing.
+    """
+    m, odd = F.month("date"), F.col("quantity").cast("int") % 2 == 1
+    spelt = lambda c: F.when(odd, F.concat(F.lit(" "), F.lower(c), F.lit("  "))).otherwise(F.col(c)).alias(c)
+    s = sales(spark, d)
+    return s.select(
+        *(spelt(c) if c in ("customer_name", "city", "part_description") else F.col(c) for c in s.columns if c != "date"), F.year("date").alias("year"), m.alias("_from"),
+        F.when(F.col("part_no").cast("long") % 7 == 0, F.least(m + 1, F.lit(12))).otherwise(12).alias("_to"),
+    )
 
 
-@query(f"{_DELTA} SELECT * FROM delta")
+def ytd_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Which year-to-date reports there are: manufacturer, year, month."""
+    years = table(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("manufacturer")).distinct()
+    every = brands.crossJoin(years).select("manufacturer", F.explode(F.sequence("a", "b")).alias("year")).select("manufacturer", "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return every.where("NOT (month = 5 AND manufacturer = 'Brand#25')")
+
+
+_ORDER = ["customer_id", "part_no", "quantity", "net_sales", "commission", "customer_name", "city", "part_description"]
+_LINE = "customer_id, customer_name, city, state, product_family, part_no, part_description"
+_FIGURES = "sum(net_sales) AS n, sum(commission) AS c"
+_DELTA = f"""WITH s AS ({SALES_SQL}), l AS (SELECT manufacturer, year(date)::INT AS year, source_name, customer_id, state, product_family, part_no, quantity, net_sales, commission, month(date)::INT AS f,
+    CASE WHEN part_no::BIGINT % 7 = 0 THEN least(month(date) + 1, 12) ELSE 12 END::INT AS t, quantity::INT % 2 = 1 AS odd, upper(trim(customer_name)) AS kc, upper(trim(city)) AS ky, upper(trim(part_description)) AS kp,
+    CASE WHEN odd THEN ' ' || lower(customer_name) || '  ' ELSE customer_name END AS customer_name, CASE WHEN odd THEN ' ' || lower(city) || '  ' ELSE city END AS city,
+    CASE WHEN odd THEN ' ' || lower(part_description) || '  ' ELSE part_description END AS part_description FROM s),
+  r AS (SELECT manufacturer, year, unnest(range(1, 13))::INT AS month FROM (SELECT DISTINCT p_brand AS manufacturer FROM part),
+    (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1))::INT AS year FROM orders)),
+  held AS (SELECT * FROM r WHERE NOT (month = 5 AND manufacturer = 'Brand#25')),
+  own AS (SELECT l.*, month FROM l JOIN held USING (manufacturer, year) WHERE month BETWEEN f AND t),
+  base AS (SELECT manufacturer, year, month + 1 AS month FROM held),
+  was AS (SELECT l.*, month FROM l JOIN base USING (manufacturer, year) WHERE month - 1 BETWEEN f AND t),
+  k AS (SELECT manufacturer, year, month, customer_id, kc, ky, state, product_family, part_no, kp, {_FIGURES}, arg_min((source_name, {_LINE}), ({', '.join(_ORDER)})) AS x FROM own GROUP BY ALL),
+  p AS (SELECT manufacturer, year, month, customer_id, kc, ky, state, product_family, part_no, kp, {_FIGURES}, arg_min((source_name, {_LINE}), ({', '.join(_ORDER)})) AS x FROM was GROUP BY ALL),
+  j AS (SELECT manufacturer, year, month, coalesce(k.n, 0) - coalesce(p.n, 0) AS n, coalesce(k.c, 0) - coalesce(p.c, 0) AS c, coalesce(k.x, p.x) AS x
+    FROM k FULL JOIN p USING (manufacturer, year, month, customer_id, kc, ky, state, product_family, part_no, kp)),
+  delta AS (SELECT j.* FROM j SEMI JOIN held USING (manufacturer, year, month) WHERE (n <> 0 OR c <> 0) AND (month = 1 OR (manufacturer, year, month) IN (SELECT (manufacturer, year, month) FROM base)))"""
+
+
+@query(f"""{_DELTA} SELECT manufacturer, year, month, make_date(year, month, 1) AS date, x[1] AS source_name, x[2] AS customer_id, x[3] AS customer_name, x[4] AS city, x[5] AS state,
+  x[6] AS product_family, x[7] AS part_no, x[8] AS part_description, NULL::DECIMAL(38,10) AS quantity, n::DECIMAL(18,2) AS net_sales, c::DECIMAL(18,2) AS commission FROM delta""")
 def line_delta(spark, d):
-    """Each month's lines from its year-to-date report and the one before."""
-    current, previous = _line_sets(spark, d)
-    return an.line_delta(current, previous, _ORDER, _BY)
+    """Each month's lines from its year-to-date report and the one before, lines that vanish or are spelt anew among them."""
+    return an.line_deltas(ytd_lines(spark, d), _ORDER, ["manufacturer", "year"], F.col("_from"), F.col("_to"), ytd_reports(spark, d))
 
 
-@query(f"""{_DELTA}, sums AS (SELECT manufacturer, y, m, sum(net_sales)::DECIMAL(18,2) AS delta FROM delta GROUP BY ALL),
-  cs AS (SELECT manufacturer, y, m, sum(n) AS n FROM c GROUP BY ALL), ps AS (SELECT manufacturer, y, m, sum(n) AS n FROM p GROUP BY ALL)
-  SELECT manufacturer, y, m, coalesce(delta, 0)::DECIMAL(18,2) AS delta, (cs.n - coalesce(ps.n, 0))::DECIMAL(18,2) AS difference
-  FROM cs LEFT JOIN ps USING (manufacturer, y, m) LEFT JOIN sums USING (manufacturer, y, m)""")
+@query(f"""{_DELTA}, sums AS (SELECT manufacturer, year, month, sum(n)::DECIMAL(18,2) AS delta FROM delta GROUP BY ALL),
+  cs AS (SELECT manufacturer, year, month, sum(net_sales) AS n FROM own GROUP BY ALL), ps AS (SELECT manufacturer, year, month, sum(net_sales) AS n FROM was GROUP BY ALL)
+  SELECT manufacturer, year, month, coalesce(delta, 0)::DECIMAL(18,2) AS delta, (coalesce(cs.n, 0) - coalesce(ps.n, 0))::DECIMAL(18,2) AS difference
+  FROM held LEFT JOIN cs USING (manufacturer, year, month) LEFT JOIN ps USING (manufacturer, year, month) LEFT JOIN sums USING (manufacturer, year, month)
+  WHERE month = 1 OR (manufacturer, year, month) IN (SELECT (manufacturer, year, month) FROM base)""")
 def delta_total_check(spark, d):
     """The line deltas of a month add up to the difference of its reports' totals."""
-    current, previous = _line_sets(spark, d)
-    sums = lambda rows, name: rows.groupBy(*_BY).agg(sc.total(F.col("net_sales")).alias(name))
+    by = ["manufacturer", "year", "month"]
+    lines, reports = ytd_lines(spark, d), ytd_reports(spark, d)
     zero = F.lit(0).cast(sc.CENTS)
-    both = sums(current, "_c").join(sums(previous, "_p"), _BY, "left").join(sums(an.line_delta(current, previous, _ORDER, _BY), "delta"), _BY, "left")
-    return both.select(*_BY, F.coalesce("delta", zero).alias("delta"), (F.col("_c") - F.coalesce("_p", zero)).cast(sc.CENTS).alias("difference"))
+    months = lines.groupBy("manufacturer", "year", "_from", "_to").agg(F.sum("net_sales").alias("n"))
+    totals = months.withColumn("month", F.explode(F.sequence("_from", "_to"))).groupBy(*by).agg(F.sum("n").cast(sc.CENTS).alias("_n"))
+    before = totals.select("manufacturer", "year", (F.col("month") + 1).alias("month"), F.col("_n").alias("_p"))
+    deltas = an.line_deltas(lines, _ORDER, ["manufacturer", "year"], F.col("_from"), F.col("_to"), reports).groupBy(*by).agg(sc.total(F.col("net_sales")).alias("delta"))
+    known = reports.select("manufacturer", "year", (F.col("month") + 1).alias("month"))
+    based = reports.where("month = 1").unionByName(reports.join(known, by, "left_semi").where("month > 1"))
+    found = based.join(totals, by, "left").join(before, by, "left").join(deltas, by, "left")
+    return found.select(*by, F.coalesce("delta", zero).alias("delta"), (F.coalesce("_n", zero) - F.coalesce("_p", zero)).cast(sc.CENTS).alias("difference"))
 
 
 _LATEST = f"""WITH docs AS ({DOCUMENTS_SQL}), latest AS (SELECT * FROM docs WHERE is_cumulative AND total_net_sales IS NOT NULL
