@@ -19,9 +19,13 @@ SERIALS = (20_000, 65_000)
 SERIAL_EPOCH = "1899-12-30"
 
 
+#: What Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def u_trim(c: Column) -> Column:
     """Trims all Unicode white space, not just U+0020."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def norm_key(c: Column) -> Column:

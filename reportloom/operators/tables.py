@@ -127,8 +127,8 @@ def normalize(rows: DataFrame, pins: DataFrame | None = None, banners_in_body: b
 
     Kinds: preamble (one cell), header, row, note (one cell), total, blank,
     label (a lone field name above the table). ``pins`` (sheet, prefix; null
-    sheet for all) names the money column that must win over prior or range
-    columns. ``banners_in_body`` keeps data rows such as ``Acme, 0, 0, 0`` that
+    sheet for all; with doc_id for that document alone) names the money column that
+    must win over prior or range columns. ``banners_in_body`` keeps data rows such as ``Acme, 0, 0, 0`` that
     look like a banner; False drops them as kind banner.
     """
     block = Window.partitionBy(*BLOCK)
@@ -156,10 +156,12 @@ def normalize(rows: DataFrame, pins: DataFrame | None = None, banners_in_body: b
         *BLOCK, F.col("h.row_no").alias("_at"), F.col("h.cells").alias("_header")
     )
     if pins is not None:
-        own = pins.where("sheet IS NOT NULL").select(F.lower("sheet").alias("_s"), F.col("prefix").alias("_own"))
-        common = pins.where("sheet IS NULL").select(F.col("prefix").alias("_all")).limit(1)
-        sheets = rows.groupBy(*BLOCK).agg(F.first("sheet").alias("sheet"))
-        pinned = sheets.join(own, F.lower("sheet") == F.col("_s"), "left").join(common, F.lit(True), "left")
+        of = ["doc_id"] if "doc_id" in pins.columns else []
+        own = pins.where("sheet IS NOT NULL").groupBy(*of, F.lower("sheet").alias("_s")).agg(F.max("prefix").alias("_own"))
+        common = pins.where("sheet IS NULL").groupBy(*of).agg(F.max("prefix").alias("_all"))
+        sheets = rows.groupBy(*BLOCK).agg(F.lower(F.first("sheet")).alias("_s"))
+        pinned = sheets.join(own, [*of, "_s"], "left")
+        pinned = pinned.join(common, of, "left") if of else pinned.join(common, F.lit(True), "left")
         header = header.join(pinned.select(*BLOCK, F.coalesce("_own", "_all").alias("_pin")), BLOCK, "left")
     else:
         header = header.withColumn("_pin", F.lit(None).cast("string"))

@@ -449,4 +449,4 @@ def failing_chunks(spark, d):
     return sums.join(warnings, by, "full_outer")
 
 
-from reportloom.plans import text_queries  # noqa: E402, F401  (registers its own)
+from reportloom.plans import job_queries, text_queries  # noqa: E402, F401  (register their own)

@@ -25,6 +25,11 @@ def test_numbers(spark):
     assert one(spark, text, sc.net_double) == [-1234.5, 1234.0, -5.0, -5.0, 5.0, None, None, None, None, 1000.0, 7.0, None, None, None, None, 0.5, 9.0]
 
 
+def test_trim_is_that_of_unicode(spark):
+    text = [f"{a}x {a}y{b}{a}" for a in sc.WHITE for b in "\u3000 z"] + ["\u200bx\u200b", "", None, sc.WHITE]
+    assert one(spark, text, sc.u_trim) == one(spark, text, lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
+
+
 def test_clean_cells(spark):
     noise = ["280.16000000000003", "0.0575", "1234", "0.00005", "abc.d", "-0.12345"]
     assert one(spark, noise, lambda v: sc.clean_cell(v, F.lit(False))) == ["280.16", "0.0575", "1234", "0.0001", "abc.d", "-0.1235"]
