@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions.scalars import clean_cell, is_numeric, net_double, u_trim
+from reportloom.session import settled
 
 #: The patterns of the report dialect.
 ROW = r"(?sU)^\s*\|.*\|\s*$"
@@ -145,7 +146,8 @@ def normalize(rows: DataFrame, pins: DataFrame | None = None, banners_in_body: b
     aside = rows.where("kind <> 'body'").select(*BLOCK, "sheet", "row_no", "kind", "cells")
     body = rows.where("kind = 'body'").select(*BLOCK, "sheet", "row_no", "cells")
     picked = column_selection(body)
-    body = body.join(picked.select(*BLOCK, "columns"), BLOCK).withColumn("cells", F.transform("columns", lambda i: F.get("cells", i)))
+    # All that follows looks at the body again and again: it is worked out once.
+    body = settled(body.join(picked.select(*BLOCK, "columns"), BLOCK).select(*BLOCK, "sheet", "row_no", F.transform("columns", lambda i: F.get("cells", i)).alias("cells")))
 
     # Header: of the first rows, the one with the most distinct labels and no number.
     head = body.withColumn("_nth", F.row_number().over(block.orderBy("row_no"))).where(F.col("_nth") <= HEADER_ROWS)

@@ -11,7 +11,7 @@ from reportloom.functions import directives, periods
 from reportloom.functions import scalars as sc
 from reportloom.operators import analytics as an
 from reportloom.operators import splitting, tables
-from reportloom.sources import envelope, xlsx
+from reportloom.sources import envelope, sinks, xlsx
 from reportloom.streaming import pipeline
 
 
@@ -157,7 +157,7 @@ def test_queue_runs_once_and_again(spark, tmp_path):
     put("2.json", "d1")
     put("3.json", "d2")
     pipeline.start(spark, str(source), target, str(tmp_path / "cp")).awaitTermination(120)
-    sales = spark.read.parquet(f"{target}/sales")
+    sales = sinks.read(spark, f"{target}/sales")
     assert sorted((r.doc_id, r.customer_name, r.net_sales) for r in sales.collect()) == [("d1", "Acme", 2.5), ("d2", "Acme", 2.5)]
 
 

@@ -41,11 +41,61 @@ def test_a_column_that_is_new(spark, tmp_path):
     assert rows(spark, path, "doc_id", "x", F.coalesce("y", F.lit("-"))) == [("a", 1, "-"), ("b", 2, "z")]
 
 
-def test_many_documents_take_few_folders(spark, tmp_path):
+def test_many_documents_and_deletion(spark, tmp_path):
     sinks.replace_documents(spark.range(3000).select(F.col("id").cast("string").alias("doc_id")), str(tmp_path / "t"))
-    assert len(list((tmp_path / "t").glob("bucket=*"))) <= sinks.BUCKETS
+    assert len(list((tmp_path / "t" / "versions").iterdir())) == 1
     sinks.delete_documents(spark.createDataFrame([("7",), ("no such",)], "doc_id string"), str(tmp_path / "t"), str(tmp_path / "not there"))
     assert sinks.read(spark, str(tmp_path / "t")).count() == 2999
+    assert sinks.read(spark, str(tmp_path / "t"), number=1).count() == 3000
+
+
+@pytest.mark.parametrize("step", ["rows", "documents", "draft", "rename"])
+def test_a_crash_at_any_step_leaves_a_whole_state(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    frame = lambda *r: spark.createDataFrame(list(r), "doc_id string, x int")
+    sinks.replace_documents(frame(("a", 1), ("b", 2)), path)
+
+    class Crash(Exception):
+        pass
+
+    def crash(*_, **__):
+        raise Crash
+
+    with monkeypatch.context() as m:
+        if step == "rows":
+            new = frame(("a", 9)).withColumn("x", F.when(F.col("x") == 9, F.raise_error(F.lit("lost"))).otherwise(0).cast("int"))
+        else:
+            new = frame(("a", 9))
+        m.setattr(*{"rows": (sinks, "SCHEMA_VERSION", "v1"), "documents": (sinks, "_commit", crash), "draft": (sinks._Folder, "put", crash), "rename": (sinks._Folder, "take", crash)}[step])
+        with pytest.raises(Exception):  # noqa: B017
+            sinks.replace_documents(new, path)
+    assert rows(spark, path, "doc_id", "x") == [("a", 1), ("b", 2)]
+    sinks.replace_documents(frame(("a", 9)), path)
+    assert rows(spark, path, "doc_id", "x") == [("a", 9), ("b", 2)]
+    sinks.vacuum(spark, path)
+    assert rows(spark, path, "doc_id", "x") == [("a", 9), ("b", 2)]
+    assert len(list((tmp_path / "t" / "versions").iterdir())) == 2 and len(list((tmp_path / "t" / "snapshots").glob("[0-9]*"))) == 1
+
+
+def test_writers_that_meet_both_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frame = lambda *r: spark.createDataFrame(list(r), "doc_id string, x int")
+    sinks.replace_documents(frame(("a", 1)), path)
+    take, met = sinks._Folder.take, []
+
+    def between(self, old, new):
+        if not met:
+            met.append(1)
+            sinks.replace_documents(frame(("b", 2)), path)
+        return take(self, old, new)
+
+    monkeypatch.setattr(sinks._Folder, "take", between)
+    assert sinks.replace_documents(frame(("a", 5), ("c", 3)), path) == 3
+    assert rows(spark, path, "doc_id", "x") == [("a", 5), ("b", 2), ("c", 3)]
+    met.clear()
+    assert sinks.compact(spark, path) == 5  # another write came between, and stays on top
+    assert rows(spark, path, "doc_id", "x") == [("a", 5), ("b", 2), ("c", 3)]
+    assert len(sinks.snapshot(spark, path)[1]) == 2
 
 
 def test_ids_with_marks_several_sheets_and_reanalysis(spark, tmp_path):
