@@ -40,51 +40,57 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def read_workbook(content: bytes, wanted: set[str] | None = None, skipped: list[str] | None = None):
-    """Yields (sheet number, name, row number, cells); unwanted sheets are not parsed, their names go to ``skipped``."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = set(book.namelist())
-    xml = lambda name: ElementTree.fromstring(book.read(name))
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in xml("xl/sharedStrings.xml")]
-    dates: list[bool] = []
-    if "xl/styles.xml" in names:
-        styles = xml("xl/styles.xml")
-        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
-        plain = lambda code: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
-        for xf in styles.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf"):
-            i = int(xf.get("numFmtId", 0))
-            dates.append(i in DATE_FORMATS or bool(re.search("[dmyhs]", plain(own.get(i, "")), re.I)))
-    targets = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
-
-    def cell(c) -> str:
+class Workbook:
+    """One workbook, of which only what is asked for is parsed; ``file`` is anything seekable."""
+
+    def __init__(self, file):
+        self.book = zipfile.ZipFile(file)
+        self.names = set(self.book.namelist())
+        targets = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
+        found = self._xml("xl/workbook.xml").iter(f"{_MAIN}sheet")
+        #: Name (empty for none) and part of each sheet, in order.
+        self.sheets = [((s.get("name") or "").strip(), targets[s.get(f"{_REL}id")].lstrip("/")) for s in found]
+        self._shared: list[str] | None = None
+        self._dates: list[bool] = []
+
+    def _xml(self, name: str):
+        return ElementTree.fromstring(self.book.read(name))
+
+    def _load(self) -> None:
+        self._shared = []
+        if "xl/sharedStrings.xml" in self.names:
+            self._shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in self._xml("xl/sharedStrings.xml")]
+        if "xl/styles.xml" in self.names:
+            styles = self._xml("xl/styles.xml")
+            own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
+            plain = lambda code: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+            for xf in styles.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf"):
+                i = int(xf.get("numFmtId", 0))
+                self._dates.append(i in DATE_FORMATS or bool(re.search("[dmyhs]", plain(own.get(i, "")), re.I)))
+
+    def _cell(self, c) -> str:
         kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
         if kind == "inlineStr":
             text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
         elif v is None or v.text is None:
             return ""
         elif kind == "s":
-            text = shared[int(v.text)]
+            text = self._shared[int(v.text)]
         elif kind == "b":
             return "TRUE" if v.text == "1" else "FALSE"
         elif kind == "n":
             style = int(c.get("s", 0))
-            return _date(v.text) if style < len(dates) and dates[style] else _number(v.text)
+            return _date(v.text) if style < len(self._dates) and self._dates[style] else _number(v.text)
         else:
             text = v.text
         return re.sub(r"[\r\n]", " ", text).strip()
 
-    emitted = 0
-    for s in xml("xl/workbook.xml").iter(f"{_MAIN}sheet"):
-        name = (s.get("name") or "").strip() or f"Sheet{emitted + 1}"
-        if wanted is not None and name.lower() not in wanted:
-            if skipped is not None:
-                skipped.append(name)
-            continue
-        target = targets[s.get(f"{_REL}id")].lstrip("/")
+    def rows(self, target: str) -> list[list[str]]:
+        """The filled rows of a sheet's part, all as wide as its last filled column."""
+        if self._shared is None:
+            self._load()
         rows = []
-        with book.open(target if target.startswith("xl/") else f"xl/{target}") as part:
+        with self.book.open(target if target.startswith("xl/") else f"xl/{target}") as part:
             for _, row in ElementTree.iterparse(part):
                 if row.tag != f"{_MAIN}row":
                     continue
@@ -92,15 +98,28 @@ def read_workbook(content: bytes, wanted: set[str] | None = None, skipped: list[
                 for c in row.iter(f"{_MAIN}c"):
                     at = _column(c.get("r", "")) if c.get("r") else len(cells)
                     cells += [""] * (at - len(cells))
-                    cells.append(cell(c))
+                    cells.append(self._cell(c))
                 if any(cells):
                     rows.append(cells)
                 row.clear()
-        if rows:
-            width = max(k + 1 for cells in rows for k, v in enumerate(cells) if v)
-            for n, cells in enumerate(rows):
-                yield emitted, name, n, (cells + [""] * width)[:width]
-            emitted += 1
+        width = max((k + 1 for cells in rows for k, v in enumerate(cells) if v), default=0)
+        return [(cells + [""] * width)[:width] for cells in rows]
+
+
+def read_workbook(content: bytes, wanted: set[str] | None = None, skipped: list[str] | None = None):
+    """Yields (sheet number, name, row number, cells); unwanted sheets are not parsed, their names go to ``skipped``."""
+    book = Workbook(io.BytesIO(content))
+    emitted = 0
+    for name, target in book.sheets:
+        name = name or f"Sheet{emitted + 1}"
+        if wanted is not None and name.lower() not in wanted:
+            if skipped is not None:
+                skipped.append(name)
+            continue
+        rows = book.rows(target)
+        for n, cells in enumerate(rows):
+            yield emitted, name, n, cells
+        emitted += bool(rows)
 
 
 def read(spark: SparkSession, path: str, sheets: list[str] | None = None) -> DataFrame:
