@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reportloom.operators import mapping, tables
-from reportloom.sources import envelope, sinks
-
-ENVELOPES = "doc_id STRING, raw_json STRING"
+from reportloom.operators import document_job
+from reportloom.operators.document_job import Job
+from reportloom.sources import sinks
+
+#: What arrives: an envelope, with what is known about its document.
+ENVELOPES = "doc_id STRING, raw_json STRING, " + ", ".join(f"{c} STRING" for c in sinks.ABOUT)
+#: What a finished document's status row holds of its rows.
+FIGURES = ["is_cumulative", "line_count", "customer_count", "total_net_sales", "total_commission", "detected"]
 #: The states a document passes, with its progress in each.
 STATES = {"Queued": 0.0, "Extracting": 10.0, "Mapping": 50.0, "Done": 100.0, "Failed": 100.0, "Cancelled": 100.0}
 #: Where a document may go from each state; an analysis may begin anew from any end.
@@ -19,11 +23,16 @@ NEXT = {"Queued": ["Extracting", "Failed", "Cancelled"], "Extracting": ["Mapping
         "Done": ["Queued"], "Failed": ["Queued"], "Cancelled": ["Queued"]}
 
 
+def job(raw: DataFrame) -> Job:
+    """Envelopes analysed by their documents' own instructions; what isn't known about a document counts as null."""
+    known = raw.select("doc_id", "raw_json", *(F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in sinks.ABOUT))
+    done = document_job.run(known)
+    return Job(done.sales.withColumn("content_no", F.floor(F.col("row_no") / document_job.SHEET).cast("int")), done.documents)
+
+
 def analyse(raw: DataFrame) -> DataFrame:
     """Envelopes to canonical rows; each sheet's blocks stay apart, ids are left as they are."""
-    sheets = envelope.contents(raw).select(F.struct("doc_id", "content_no").alias("doc_id"), F.col("markdown").alias("text"))
-    clean = tables.normalize(tables.grid(tables.text_lines(sheets)))
-    return mapping.canonical(clean).withColumns({"content_no": F.col("doc_id.content_no"), "doc_id": F.col("doc_id.doc_id")})
+    return job(raw).sales
 
 
 def states(ids: DataFrame, state: str, error: str | None = None) -> DataFrame:
@@ -47,19 +56,26 @@ def tag(document: str) -> str:
     return f"document-{document}"
 
 
-def process(raw: DataFrame, target: str, work: Callable[[DataFrame], DataFrame] = analyse) -> None:
+def process(raw: DataFrame, target: str, work: Callable[[DataFrame], DataFrame | Job] = job) -> None:
     """Analyses documents and stores rows and statuses; one that fails leaves the others alone.
 
-    All go in one job first, since that is fast. Only where it fails are they done in
-    halves, down to the one that fails, which is marked Failed with its reason and keeps
+    A document that :func:`job` can't analyse is a row that says so, among the others. Only
+    where the work itself raises are documents done in halves, down to the one that fails, which is marked Failed with its reason and keeps
     its earlier rows. A single document's jobs carry its tag (see :func:`cancel`).
     """
     spark = raw.sparkSession
     context = spark.sparkContext
     documents = raw.select("doc_id").distinct()
     try:
-        sinks.write_sales(work(raw), f"{target}/sales", documents)
-        sinks.replace_documents(states(documents, "Done"), f"{target}/status")
+        result = work(raw)
+        if isinstance(result, Job):
+            failed = result.documents.where("status = 'Failed'").select("doc_id")
+            sinks.write_sales(result.sales, f"{target}/sales", documents.join(failed, "doc_id", "left_anti"))
+            status = result.documents.select("doc_id", "status", F.lit(STATES["Done"]).alias("progress_pct"), "error_message", *FIGURES)
+        else:
+            sinks.write_sales(result, f"{target}/sales", documents)
+            status = states(documents, "Done")
+        sinks.replace_documents(status, f"{target}/status")
         return
     except Exception as error:
         reason = str(error)[:500]
@@ -86,7 +102,7 @@ def process(raw: DataFrame, target: str, work: Callable[[DataFrame], DataFrame]
 
 def start(
     spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 10,
-    work: Callable[[DataFrame], DataFrame] = analyse,
+    work: Callable[[DataFrame], DataFrame | Job] = job,
 ) -> StreamingQuery:
     """Analyses what has arrived and stops; started again, goes on where it was.
 
@@ -95,7 +111,7 @@ def start(
     nothing. Envelopes are kept as they came in ``target``/raw.
     """
     def batch(frame: DataFrame, number: int) -> None:
-        newest = newest_of(frame).select("doc_id", "raw_json").persist()
+        newest = newest_of(frame).drop("arrived").persist()
         try:
             sinks.write_raw(newest, f"{target}/raw")
             sinks.replace_documents(states(newest.select("doc_id"), "Mapping"), f"{target}/status")
@@ -108,11 +124,30 @@ def start(
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reanalyse(spark: SparkSession, target: str, ids: DataFrame, work: Callable[[DataFrame], DataFrame] = analyse) -> None:
-    """Canonical rows and statuses of these documents anew from the raw envelopes, which stay."""
+def reanalyse(spark: SparkSession, target: str, ids: DataFrame, work: Callable[[DataFrame], DataFrame | Job] = job) -> None:
+    """Canonical rows and statuses of these documents anew from the raw envelopes, which stay.
+
+    Where ``ids`` has custom_instructions, these replace the documents' own, in the raw store
+    too (null: none). Statuses begin anew at Mapping, without figures; documents of which
+    no envelope is held are left out.
+    """
     raw = sinks.read(spark, f"{target}/raw")
-    if raw is not None:
-        process(raw.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_json"), target, work)
+    if raw is None:
+        return
+    told = "custom_instructions" in ids.columns
+    if told:
+        new = ids.groupBy("doc_id").agg(F.first("custom_instructions").alias("_told"))
+        raw = raw.drop("custom_instructions").join(new, "doc_id").withColumnRenamed("_told", "custom_instructions")
+    else:
+        raw = raw.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    raw = raw.drop("extracted_ts").persist()
+    try:
+        if told:
+            sinks.write_raw(raw, f"{target}/raw")
+        sinks.replace_documents(states(raw.select("doc_id"), "Mapping"), f"{target}/status")
+        process(raw, target, work)
+    finally:
+        raw.unpersist()
 
 
 def delete(target: str, ids: DataFrame) -> None:

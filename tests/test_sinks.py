@@ -116,6 +116,21 @@ def test_ids_with_marks_several_sheets_and_reanalysis(spark, tmp_path):
         assert {i for i, in rows(spark, f"{target}/{store}", "doc_id")} == {"good"}
 
 
+def test_instructions_travel_with_the_document_and_may_change(spark, tmp_path):
+    both = json.dumps({"result": {"contents": [{"path": n, "markdown": f"# {n}\n" + TABLE.format(n, v)} for n, v in (("A", 5), ("B", 7))]}})
+    docs = [("x", both, 'Only read the sheet named "A".'), ("y", both, None), ("z", both, 'Only read the sheet named "C".')]
+    raw = spark.createDataFrame(docs, "doc_id string, raw_json string, custom_instructions string")
+    target = str(tmp_path)
+    sinks.write_raw(raw, f"{target}/raw")
+    pipeline.process(raw, target)
+    figures = lambda: rows(spark, f"{target}/status", "doc_id", "status", "line_count", F.col("total_net_sales").cast("double"))
+    assert figures() == [("x", "Done", 1, 5.0), ("y", "Done", 2, 12.0), ("z", "Failed", None, None)]
+    assert rows(spark, f"{target}/sales", "doc_id", "part_no") == [("x", "A"), ("y", "A"), ("y", "B")]
+    pipeline.reanalyse(spark, target, spark.createDataFrame([("z", 'Only read the sheet named "B".'), ("x", None), ("no such", None)], "doc_id string, custom_instructions string"))
+    assert figures() == [("x", "Done", 2, 12.0), ("y", "Done", 2, 12.0), ("z", "Done", 1, 7.0)]
+    assert rows(spark, f"{target}/raw", "doc_id", F.coalesce("custom_instructions", F.lit("-"))) == [("x", "-"), ("y", "-"), ("z", 'Only read the sheet named "B".')]
+
+
 def test_one_bad_document_leaves_the_others_alone(spark, tmp_path):
     def work(frame):
         bad = F.when(F.col("doc_id") == "d3", F.raise_error(F.lit("unreadable sheet"))).otherwise(F.col("doc_id"))
