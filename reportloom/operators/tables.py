@@ -99,28 +99,47 @@ def is_note(cells: Column) -> Column:
 def column_selection(body: DataFrame) -> DataFrame:
     """For each block the columns to keep: not empty, not a repeat of the last kept one.
 
-    Agreement of all column pairs is counted in one aggregation; the chain of
-    last kept columns is then a fold over the block's columns, whose number does
-    not depend on its rows.
+    Only columns that may stand next to each other once others are gone are compared.
+    Taking for granted that all filled columns stay, these are the neighbours; where some
+    turn out to be repeats, the pairs that this opens are compared in a further round, in
+    the blocks concerned alone. So a row of W cells is looked at about twice W times, not
+    W * W, and there are as many rounds as columns repeat one another in a row.
     """
-    pair = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("cells") - 1),
-        lambda j: F.transform(F.sequence(F.lit(0), j), lambda k: F.struct(k.alias("k"), j.alias("j"), F.get("cells", k).alias("x"), F.get("cells", j).alias("y"))),
-    ))
-    counted = body.select(*BLOCK, F.size("cells").alias("w"), F.explode(pair).alias("p")).groupBy(*BLOCK, "w", "p.k", "p.j").agg(
-        F.count_if((F.col("p.x") != "") | (F.col("p.y") != "")).alias("either"), F.count_if((F.col("p.x") == F.col("p.y")) & (F.col("p.x") != "")).alias("same")
-    )
-    per_block = counted.groupBy(*BLOCK, "w").agg(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("k") * F.col("w") + F.col("j")).alias("key"), F.struct("either", "same").alias("v")))).alias("m"))
-    at = lambda k, j: F.try_element_at(F.col("m"), (k * F.col("w") + j).cast("int"))
-
-    def step(kept: Column, j: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        repeat = last.isNotNull() & (at(last, j)["same"] >= SAME_COLUMN * at(last, j)["either"])
-        return F.when((at(j, j)["either"] == 0) | F.coalesce(repeat, F.lit(False)), kept).otherwise(F.concat(kept, F.array(j)))
-
-    fold = F.aggregate(F.sequence(F.lit(0), (F.col("w") - 1).cast("int")), F.array().cast("array<int>"), step)
-    return per_block.select(*BLOCK, "w", fold.alias("columns"))
+    bits = 62
+    parts = F.sequence(F.lit(0), F.floor((F.size("cells") - 1) / bits).cast("int"))
+    part = F.transform(F.slice("cells", F.col("part") * bits + 1, F.lit(bits)), lambda c, i: F.when(c != "", F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
+    mask = F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    filled_in = body.select(*BLOCK, "cells", F.explode(parts).alias("part")).groupBy(*BLOCK, "part").agg(F.max(F.size("cells")).alias("w"), F.bit_or(mask).alias("mask"))
+    masks = F.transform(F.sort_array(F.collect_list(F.struct("part", "mask"))), lambda x: x["mask"])
+    blocks = settled(filled_in.groupBy(*BLOCK).agg(F.max("w").alias("w"), masks.alias("masks")))
+    known: DataFrame | None = None
+
+    def step(acc: Column, j: Column) -> Column:
+        word = F.get("masks", F.floor(j / bits).cast("int"))
+        there = F.call_function("shiftright", word, j % bits).bitwiseAND(F.lit(1)) == 1
+        key = acc["last"] * F.col("w") + j
+        repeat = F.try_element_at("known", key)
+        keeps = F.struct(j.alias("last"), F.concat(acc["kept"], F.array(j)).alias("kept"), F.concat(acc["open"], F.when((acc["last"] >= 0) & repeat.isNull(), F.array(key)).otherwise(F.array().cast("array<int>"))).alias("open"))
+        return F.when(~there | F.coalesce(repeat, F.lit(False)), acc).otherwise(keeps)
+
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(-1).alias("last"), none.alias("kept"), none.alias("open"))
+    while True:
+        if known is None:
+            told = blocks.withColumn("known", F.create_map().cast("map<int,boolean>"))
+        else:
+            maps = known.groupBy(*BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("key", "repeat"))).alias("known"))
+            told = blocks.join(maps, BLOCK, "left")
+        chain = F.aggregate(F.sequence(F.lit(0), F.col("w") - 1), start, step)
+        chains = settled(told.withColumn("c", chain).select(*BLOCK, "w", "c.kept", "c.open"))
+        asked = chains.where(F.size("open") > 0)
+        if asked.isEmpty():
+            return chains.select(*BLOCK, "w", F.col("kept").alias("columns"))
+        pair = body.join(asked.select(*BLOCK, "w", "open"), BLOCK).select(*BLOCK, "w", "cells", F.explode("open").alias("key"))
+        x, y = F.get("cells", F.floor(F.col("key") / F.col("w")).cast("int")), F.get("cells", F.col("key") % F.col("w"))
+        counted = pair.groupBy(*BLOCK, "key").agg(F.count_if((x != "") | (y != "")).alias("either"), F.count_if((x == y) & (x != "")).alias("same"))
+        found = settled(counted.select(*BLOCK, "key", (F.col("same") >= SAME_COLUMN * F.col("either")).alias("repeat")))
+        known = found if known is None else settled(known.unionByName(found))
 
 
 def normalize(rows: DataFrame, pins: DataFrame | None = None, banners_in_body: bool = True) -> DataFrame:
@@ -144,10 +163,10 @@ def normalize(rows: DataFrame, pins: DataFrame | None = None, banners_in_body: b
         .when(F.col("_banner") & F.lit(not banners_in_body), "banner").otherwise("body"),
     ).withColumn("cells", F.when(F.col("kind") == "preamble", F.array(banner_text(F.col("cells")))).otherwise(F.col("cells")))
     aside = rows.where("kind <> 'body'").select(*BLOCK, "sheet", "row_no", "kind", "cells")
-    body = rows.where("kind = 'body'").select(*BLOCK, "sheet", "row_no", "cells")
-    picked = column_selection(body)
     # All that follows looks at the body again and again: it is worked out once.
-    body = settled(body.join(picked.select(*BLOCK, "columns"), BLOCK).select(*BLOCK, "sheet", "row_no", F.transform("columns", lambda i: F.get("cells", i)).alias("cells")))
+    body = settled(rows.where("kind = 'body'").select(*BLOCK, "sheet", "row_no", "cells"))
+    picked = column_selection(body)
+    body = body.join(picked.select(*BLOCK, "columns"), BLOCK).select(*BLOCK, "sheet", "row_no", F.transform("columns", lambda i: F.get("cells", i)).alias("cells"))
 
     # Header: of the first rows, the one with the most distinct labels and no number.
     head = body.withColumn("_nth", F.row_number().over(block.orderBy("row_no"))).where(F.col("_nth") <= HEADER_ROWS)
