@@ -16,10 +16,10 @@ from reportloom.sources import sinks
 ENVELOPES = "doc_id STRING, raw_json STRING, " + ", ".join(f"{c} STRING" for c in sinks.ABOUT)
 #: What a finished document's status row holds of its rows.
 FIGURES = ["is_cumulative", "line_count", "customer_count", "total_net_sales", "total_commission", "detected"]
-#: The states a document passes, with its progress in each.
-STATES = {"Queued": 0.0, "Extracting": 10.0, "Mapping": 50.0, "Done": 100.0, "Failed": 100.0, "Cancelled": 100.0}
-#: Where a document may go from each state; an analysis may begin anew from any end.
-NEXT = {"Queued": ["Extracting", "Failed", "Cancelled"], "Extracting": ["Mapping", "Failed", "Cancelled"], "Mapping": ["Done", "Failed", "Cancelled"],
+#: The states a document passes, with its progress on entering each.
+STATES = {"Queued": 0.0, "Extracting": 10.0, "Mapping": 60.0, "Done": 100.0, "Failed": 100.0, "Cancelled": 100.0}
+#: Where a document may go from each state; an analysis may begin anew from any end, and from where one broke off.
+NEXT = {"Queued": ["Extracting", "Failed", "Cancelled"], "Extracting": ["Mapping", "Failed", "Cancelled", "Queued"], "Mapping": ["Done", "Failed", "Cancelled", "Queued"],
         "Done": ["Queued"], "Failed": ["Queued"], "Cancelled": ["Queued"]}
 
 
@@ -46,6 +46,22 @@ def allowed(was: str, now: str) -> bool:
     return was == now or now in NEXT.get(was, [])
 
 
+def advance(target: str, ids: DataFrame, state: str) -> None:
+    """Moves those of the documents to ``state`` that may go there from where they are; an unknown one may be Queued.
+
+    A store keeps its earlier states, so a document's way can be read back until it is compacted.
+    """
+    ids = ids.select("doc_id").distinct()
+    held = sinks.read(ids.sparkSession, f"{target}/status")
+    if held is None:
+        may = ids if state == "Queued" else ids.where("false")
+    else:
+        before = [was for was in NEXT if allowed(was, state)]
+        known = ids.join(held.select("doc_id", F.col("status").alias("_was")), "doc_id", "left")
+        may = known.where(F.col("_was").isin(before) | (F.col("_was").isNull() & F.lit(state == "Queued"))).select("doc_id")
+    sinks.replace_documents(states(may, state), f"{target}/status")
+
+
 def newest_of(queued: DataFrame) -> DataFrame:
     """One envelope of each document: the one that arrived last, by file time, then by its text."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("arrived"), F.desc("raw_json"))
@@ -113,8 +129,10 @@ def start(
     def batch(frame: DataFrame, number: int) -> None:
         newest = newest_of(frame).drop("arrived").persist()
         try:
+            advance(target, newest, "Queued")
+            advance(target, newest, "Extracting")
             sinks.write_raw(newest, f"{target}/raw")
-            sinks.replace_documents(states(newest.select("doc_id"), "Mapping"), f"{target}/status")
+            advance(target, newest, "Mapping")
             process(newest, target, work)
         finally:
             newest.unpersist()
@@ -128,7 +146,7 @@ def reanalyse(spark: SparkSession, target: str, ids: DataFrame, work: Callable[[
     """Canonical rows and statuses of these documents anew from the raw envelopes, which stay.
 
     Where ``ids`` has custom_instructions, these replace the documents' own, in the raw store
-    too (null: none). Statuses begin anew at Mapping, without figures; documents of which
+    too (null: none). Statuses begin anew at Queued, without figures; documents of which
     no envelope is held are left out.
     """
     raw = sinks.read(spark, f"{target}/raw")
@@ -144,7 +162,8 @@ def reanalyse(spark: SparkSession, target: str, ids: DataFrame, work: Callable[[
     try:
         if told:
             sinks.write_raw(raw, f"{target}/raw")
-        sinks.replace_documents(states(raw.select("doc_id"), "Mapping"), f"{target}/status")
+        for state in ("Queued", "Extracting", "Mapping"):  # nothing is extracted again, but no state is left out
+            advance(target, raw, state)
         process(raw, target, work)
     finally:
         raw.unpersist()

@@ -160,3 +160,18 @@ def test_a_cancelled_document_ends_as_cancelled(spark, tmp_path):
 @pytest.mark.parametrize(("was", "now", "fine"), [("Queued", "Extracting", True), ("Mapping", "Done", True), ("Done", "Mapping", False), ("Failed", "Queued", True), ("Queued", "Queued", True)])
 def test_states(was, now, fine):
     assert pipeline.allowed(was, now) is fine
+
+
+def test_states_are_passed_in_order(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "1.json").write_text(json.dumps({"doc_id": "d", "raw_json": envelope(TABLE.format("A", 5))}))
+    pipeline.start(spark, str(source), target, str(tmp_path / "cp")).awaitTermination(120)
+    status = f"{target}/status"
+    seen = [sinks.read(spark, status, number=k + 1).first() for k in range(sinks.snapshot(spark, status)[0])]
+    assert [(r.status, r.progress_pct) for r in seen] == [("Queued", 0.0), ("Extracting", 10.0), ("Mapping", 60.0), ("Done", 100.0)]
+    ids = spark.createDataFrame([("d",), ("new",)], "doc_id string")
+    pipeline.advance(target, ids, "Mapping")  # from Done only to Queued, and a new one first of all there
+    assert rows(spark, status, "doc_id", "status") == [("d", "Done")]
+    pipeline.advance(target, ids, "Queued")
+    assert rows(spark, status, "doc_id", "status") == [("d", "Queued"), ("new", "Queued")]
