@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.operators.tables import half_no
@@ -44,8 +44,3 @@ def in_halves(rows: DataFrame, by: list[str], work: Work, order: str = "nth", le
         if open_.isEmpty():
             union = lambda frames: reduce(DataFrame.unionByName, frames)
             return union(kept), union(lost)
-
-
-def lost_text(what: str = "Chunk") -> Column:
-    """A warning for a lost part: which chunk, how many rows, why."""
-    return F.concat(F.lit(f"{what} "), F.col("chunk_no").cast("string"), F.lit(" lost "), F.col("n_rows").cast("string"), F.lit(" rows that can't be cut further: "), F.col("message"))

@@ -292,10 +292,6 @@ def sample_rows(rows: DataFrame, by: list[str], order: list[Column], head: int =
     )
 
 
-def preamble_tail(text: Column) -> Column:
-    return F.right(text, F.lit(PREAMBLE_CHARS))
-
-
 def pinned_values(rows: DataFrame, header_index: Column) -> DataFrame:
     """The pinned column's numbers; what is blank or no number stays null."""
     return rows.withColumn("pinned", net_double(F.get("cells", header_index)))
