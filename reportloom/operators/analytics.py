@@ -102,13 +102,13 @@ def line_deltas(lines: DataFrame, order: list[str], by: list[str], since: Column
     its one row: its parts differ in their months alone, so there are 78 at most.
     """
     row = F.struct(*(F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in TEMPLATE))
-    parts = keyed(lines.withColumn("_row", row).withColumn("_from", since.cast("int")).withColumn("_to", until.cast("int"))).groupBy(
-        *by, *_KEY, "_from", "_to"
-    ).agg(
+    # The hash comes first in what is grouped, so that sorting compares longs and not seven texts.
+    lines = keyed(lines.withColumn("_row", row).withColumn("_from", since.cast("int")).withColumn("_to", until.cast("int")))
+    parts = lines.withColumn("_h", F.xxhash64(*by, *_KEY)).groupBy("_h", *by, *_KEY, "_from", "_to").agg(
         F.sum(money(F.col("net_sales"))).alias("net"), F.sum(money(F.col("commission"))).alias("comm"),
         F.min(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col("_row").alias("row"))).alias("first"),
     )
-    lists = parts.groupBy(*by, *_KEY).agg(F.collect_list(F.struct("_from", "_to", "net", "comm", "first")).alias("parts"))
+    lists = parts.groupBy("_h", *by, *_KEY).agg(F.collect_list(F.struct("_from", "_to", "net", "comm", "first")).alias("parts"))
     # Only where a part begins, or the month after it ends, can a figure move.
     edges = F.array_distinct(F.concat(F.transform("parts", lambda p: p["_from"]), F.filter(F.transform("parts", lambda p: p["_to"] + 1), lambda m: m <= 12)))
     moved = lists.withColumn("month", F.explode(edges))
