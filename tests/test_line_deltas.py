@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from reportloom.operators import analytics as an
+from tests.measured import shuffled_bytes
 
 SCHEMA = "manufacturer string, year int, month int, source_name string, customer_id string, customer_name string, city string, net_sales double, commission double"
 BY = ["manufacturer", "year"]
@@ -48,3 +49,20 @@ def test_golden_figure_of_one_pair(spark):
     frame = lambda v: held(spark, ("M", 2026, 1, "s", "1", "Acme", "Rome", v, 0.0)).drop("year", "month")
     got = an.line_delta(frame(1406580.58), frame(794258.99), ["net_sales"]).collect()
     assert [(r["net_sales"], r["customer_name"]) for r in got] == [(Decimal("612321.59"), "Acme")]
+
+
+def test_texts_are_shuffled_once_a_step_and_not_at_all_for_figures(spark):
+    n = 2000
+    texts = {c: F.concat(*(F.sha2(F.concat(F.lit(f"{c}{k}"), F.col("id").cast("string")), 256) for k in range(3))) for c in ("customer_name", "part_description")}
+    lines = spark.range(n).withColumns({c: F.lit(None).cast("string") for c in an.LINE_KEY}).withColumns(texts)
+    lines = lines.select(
+        "*", F.lit("M").alias("manufacturer"), F.lit(2026).alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"), F.lit("s").alias("source_name"),
+        F.col("id").cast("double").alias("net_sales"), F.lit(1.0).alias("commission"),
+    )
+    held = n * 2 * 3 * 64  # bytes of all texts
+    months = F.col("month")
+    deltas = an.line_deltas(lines, ["net_sales", "customer_name", "part_description"], BY, months, months)
+    assert held < shuffled_bytes(deltas) < 2.6 * held  # two steps; before, keys and order each held them as well
+    assert shuffled_bytes(an.line_figures(lines, BY, months, months)) < 0.5 * held
+    total = deltas.agg(F.sum("net_sales").alias("n"), F.count("*").alias("c")).first()
+    assert an.line_figures(lines, BY, months, months).agg(F.sum("net_sales").alias("n"), F.count("*").alias("c")).first() == total
