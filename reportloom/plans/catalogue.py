@@ -112,7 +112,7 @@ def delta_total_check(spark, d):
     months = lines.groupBy("manufacturer", "year", "_from", "_to").agg(F.sum("net_sales").alias("n"))
     totals = months.withColumn("month", F.explode(F.sequence("_from", "_to"))).groupBy(*by).agg(F.sum("n").cast(sc.CENTS).alias("_n"))
     before = totals.select("manufacturer", "year", (F.col("month") + 1).alias("month"), F.col("_n").alias("_p"))
-    deltas = an.line_deltas(lines, _ORDER, ["manufacturer", "year"], F.col("_from"), F.col("_to"), reports).groupBy(*by).agg(sc.total(F.col("net_sales")).alias("delta"))
+    deltas = an.line_figures(lines, ["manufacturer", "year"], F.col("_from"), F.col("_to"), reports).groupBy(*by).agg(sc.total(F.col("net_sales")).alias("delta"))
     known = reports.select("manufacturer", "year", (F.col("month") + 1).alias("month"))
     based = reports.where("month = 1").unionByName(reports.join(known, by, "left_semi").where("month > 1"))
     found = based.join(totals, by, "left").join(before, by, "left").join(deltas, by, "left")
