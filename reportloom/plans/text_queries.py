@@ -9,6 +9,7 @@ from reportloom.operators import analytics as an
 from reportloom.operators import splitting, tables
 from reportloom.plans.registry import query
 from reportloom.plans.views import table
+from reportloom.session import swept
 
 
 def odd_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +93,8 @@ def listed_texts(spark: SparkSession, d: str) -> DataFrame:
 def coverage_on_text(spark, d):
     """Rows counted on the normalised text, where totals and notes don't count, against canonical lines; a third of the documents lose all, a third half of them."""
     lines = tables.text_lines(listed_texts(spark, d))
-    clean = tables.normalize(tables.grid(lines)).persist()
-    found = splitting.rows_detected(splitting.normalized_lines(lines, clean), spread=splitting.SPREAD)
+    clean = swept(tables.normalize(tables.grid(lines)))
+    found = swept(splitting.rows_detected(splitting.normalized_lines(lines, clean).repartition("doc_id"), spread=splitting.SPREAD))
     raw = splitting.rows_detected(lines).select("doc_id", F.col("detected").alias("detected_raw"))
     held = clean.where("kind = 'row'").groupBy("doc_id").agg(F.count("*").alias("lines"))
     n = F.col("lines") - 1
